@@ -202,3 +202,34 @@ VIEWS = {
     "brackets": """SELECT p_partkey AS id,
         repeat('([.', p_size) || repeat('])', p_size) AS notation FROM part""",
 }
+
+# Names given to the 21 atoms of each vector.
+ATOM_NAMES = ["C2", "C4", "C5", "C6", "N1", "N3", "C3'", "C5'", "P", "OP1", "OP2", "O5'", "C4'",
+              "O4'", "O3'", "C2'", "C1'", "N9", "C8", "N7", "O6"]
+RESIDUE_ATOMS = ["N", "CA", "C", "O", "CB", "CG", "CD1", "CD2", "CE1", "CE2", "CZ", "OH", "OD1",
+                 "OD2", "OE1", "OE2", "NZ", "NH1", "NH2", "NE", "SG"]
+
+
+def atoms(spark: SparkSession, sf: str, names: list[str] = ATOM_NAMES) -> DataFrame:
+    """residue, letter, name, p, b: three values of each vector make one atom."""
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    k = F.col("k")
+    return (read(spark, sf, "embeddings").withColumn("e", e)
+            .select("vec_id", "label", "e", F.posexplode(F.array(*[F.lit(n) for n in names]))
+                    .alias("k", "name"))
+            .select(F.col("vec_id").alias("residue"), letter(F.col("label") % 4).alias("letter"),
+                    "label", "k", "name",
+                    vec(F.get("e", 3 * k), F.get("e", 3 * k + 1), F.get("e", 3 * k + 2)).alias("p"),
+                    (F.abs(F.get("e", k)) * 100).alias("b")))
+
+
+def _atom_sql(names: list[str]) -> str:
+    listed = ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+    return f"""SELECT vec_id AS residue, substr('AGCT', label % 4 + 1, 1) AS letter, label, k,
+        [{listed}][k + 1] AS name, embedding[3*k+1]::DOUBLE AS x, embedding[3*k+2]::DOUBLE AS y,
+        embedding[3*k+3]::DOUBLE AS z, abs(embedding[k+1]::DOUBLE) * 100 AS b
+        FROM embeddings, (SELECT CAST(unnest(range({len(names)})) AS INT) AS k)"""
+
+
+VIEWS["atoms"] = _atom_sql(ATOM_NAMES)
+VIEWS["residue_atoms"] = _atom_sql(RESIDUE_ATOMS)
