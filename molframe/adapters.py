@@ -233,3 +233,42 @@ def _atom_sql(names: list[str]) -> str:
 
 VIEWS["atoms"] = _atom_sql(ATOM_NAMES)
 VIEWS["residue_atoms"] = _atom_sql(RESIDUE_ATOMS)
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """Monomers as they are exported: every structure holds either DNA or RNA (with U)."""
+    m = monomers(spark, sf)
+    na = F.col("class").isin("DNA", "RNA")
+    rna = na & F.col("structure").isin("f1", "f3")
+    return (m.withColumn("class", F.when(rna, "RNA").when(na, "DNA").otherwise(F.col("class")))
+            .withColumn("base", F.when(rna, F.translate("base", "T", "U")).otherwise(F.col("base")))
+            .withColumn("mass", F.when(F.col("class") == "sphere", F.col("code") + 1.0))
+            .withColumn("radius", F.when(F.col("class") == "sphere", (F.col("code") + 1) * 0.5))
+            .withColumn("connections", F.when(
+                F.col("class") == "peptide", F.array(F.col("n5"), F.col("n3"),
+                                                     F.when(F.col("pos") < F.col("len") - 5,
+                                                            F.col("id") + 5)))))
+
+
+VIEWS["expo"] = """SELECT * REPLACE (CASE WHEN class NOT IN ('DNA', 'RNA') THEN class
+    WHEN structure IN ('f1', 'f3') THEN 'RNA' ELSE 'DNA' END AS class,
+    CASE WHEN class IN ('DNA', 'RNA') AND structure IN ('f1', 'f3') THEN replace(base, 'T', 'U')
+    ELSE base END AS base) FROM mono"""
+VIEWS["snum"] = """SELECT structure, strand, len, class,
+    row_number() OVER w - 1 AS ord, CASE WHEN rk < 2 THEN -row_number() OVER w
+    ELSE row_number() OVER w - sum(CASE WHEN rk < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY structure)
+    END AS new_strand, sum(len) OVER w - len AS first FROM (SELECT *,
+    CASE class WHEN 'peptide' THEN 0 WHEN 'sphere' THEN 1 ELSE 2 END AS rk FROM strands)
+    WINDOW w AS (PARTITION BY structure ORDER BY rk, strand)"""
+VIEWS["newid"] = """SELECT e.structure, e.id, CAST(s.first + CASE WHEN e.class IN ('DNA', 'RNA')
+    THEN e.len - 1 - e.pos ELSE e.pos END AS BIGINT) AS old_new,
+    CAST(s.first + e.pos AS BIGINT) AS new_new, CAST(s.new_strand AS BIGINT) AS new_strand
+    FROM expo e JOIN snum s ON s.strand = e.strand"""
+VIEWS["heads"] = """SELECT structure, sum(len) || ' ' || count(*) || CASE
+    WHEN count(*) FILTER (class = 'sphere') > 0 THEN ' ' || coalesce(sum(len) FILTER
+    (class IN ('DNA', 'RNA')), 0) || ' ' || coalesce(sum(len) FILTER (class = 'peptide'), 0) || ' '
+    || count(*) FILTER (class IN ('DNA', 'RNA')) || ' ' || count(*) FILTER (class = 'peptide')
+    WHEN count(*) FILTER (class = 'peptide') > 0 THEN ' ' || coalesce(sum(len) FILTER
+    (class IN ('DNA', 'RNA')), 0) || ' ' || sum(len) FILTER (class = 'peptide') || ' '
+    || count(*) FILTER (class IN ('DNA', 'RNA')) ELSE '' END AS head FROM strands
+    GROUP BY structure"""

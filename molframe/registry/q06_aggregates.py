@@ -133,14 +133,14 @@ def wrap(e, goal=25.0):
     return f"({s}) - {BOX} * floor(({s}) / {BOX}) - {25.0 - goal}"
 
 
-@query("agg_wrap_box", f"""SELECT id, {", ".join(f"{r4(wrap('p' + a))} AS m{a}" for a in "xyz")},
-    {", ".join(f"{r4(f'p{a} + ({wrap(f"c{a}", 0)}) - c{a}', 3)} AS s{a}" for a in "xyz")}
+@query("agg_wrap_box", f"""SELECT id, {", ".join(f"{r4(wrap('p' + a), 6)} AS m{a}" for a in "xyz")},
+    {", ".join(f"{r4(f'p{a} + ({wrap(f"c{a}", 0)}) - c{a}', 6)} AS s{a}" for a in "xyz")}
     FROM mono m JOIN (SELECT strand, avg(px) AS cx, avg(py) AS cy, avg(pz) AS cz FROM mono
     GROUP BY strand) c ON c.strand = m.strand""")
 def _(spark, sf):
     m = A.monomers(spark, sf)
-    one = K.wrap_monomers(m, BOX).select("id", *flat(C("p"), "m"))
-    whole = K.wrap_strands(m, ["strand"], BOX, 0.0).select("id", *flat(C("p"), "s", 3))
+    one = K.wrap_monomers(m, BOX).select("id", *flat(C("p"), "m", 6))
+    whole = K.wrap_strands(m, ["strand"], BOX, 0.0).select("id", *flat(C("p"), "s", 6))
     return one.join(whole, "id")
 
 
@@ -169,10 +169,10 @@ def d3(u, v):
     return "({0}x*{1}x + {0}y*{1}y + {0}z*{1}z)".format(u, v)
 
 
-@query("agg_residue_frames", f"""WITH tri(a, b, c) AS (VALUES {TRIPLES}),
+@query("agg_residue_frames", f"""WITH tri(ta, tb, tc) AS (VALUES {TRIPLES}),
     seg AS (SELECT p.residue, {", ".join(f"p.{x}-q.{x} AS v{x}, p.{x}-s.{x} AS w{x}" for x in "xyz")}
-        FROM tri JOIN atoms p ON p.name = a JOIN atoms q ON q.name = b AND q.residue = p.residue
-        JOIN atoms s ON s.name = c AND s.residue = p.residue),
+        FROM tri JOIN atoms p ON p.name = ta JOIN atoms q ON q.name = tb AND q.residue = p.residue
+        JOIN atoms s ON s.name = tc AND s.residue = p.residue),
     nrm AS (SELECT residue, vy*wz - vz*wy AS nx, vz*wx - vx*wz AS ny, vx*wy - vy*wx AS nz,
         {d3('v', 'w')} / sqrt({d3('v', 'v')} * {d3('w', 'w')}) AS cosine FROM seg),
     al AS (SELECT residue, {", ".join(f"sum(CASE WHEN name = 'C5''' THEN {x} WHEN name = 'C3''' THEN -{x} ELSE 0 END) AS t{x}" for x in "xyz")} FROM atoms GROUP BY residue),
