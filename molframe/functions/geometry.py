@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 def vec(x, y, z) -> Column:
     cols = [v if isinstance(v, Column) else F.lit(float(v)) for v in (x, y, z)]
-    return F.struct(*[c.cast("double").alias(n) for c, n in zip(cols, "xyz")])
+    return F.named_struct(*[e for c, n in zip(cols, "xyz") for e in (F.lit(n), c.cast("double"))])
 
 
 def _map(f, *vs: Column) -> Column:

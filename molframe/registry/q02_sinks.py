@@ -107,7 +107,8 @@ def _(spark, sf):
 
 
 @query("snk_sequences_csv", """WITH s AS (SELECT structure, strand, string_agg(base, '' ORDER BY pos)
-    AS seq, count(*) AS n, arg_min(color, pos) AS c5, arg_max(color, pos) AS c3 FROM (SELECT * REPLACE
+    AS seq, count(*) AS n, max(color) FILTER (pos = 0) AS c5,
+    max(color) FILTER (pos = len - 1) AS c3 FROM (SELECT * REPLACE
     (CASE WHEN pos = 0 AND strand % 3 = 0 THEN NULL WHEN strand % 6 = 0 THEN NULL ELSE color * 70000
     END AS color) FROM expo) GROUP BY 1, 2)
     SELECT DISTINCT structure AS file, 0 AS line_no, 'name, seq, len, RGB' AS line FROM s UNION ALL

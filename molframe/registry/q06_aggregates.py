@@ -154,7 +154,7 @@ def _(spark, sf):
 
 
 @query("agg_bounds", f"""SELECT structure, {", ".join(f'''{r4(f"""CASE WHEN max(p{a}) - min(p{a}) < 2
-    THEN 2.5 ELSE max(p{a}) - min(p{a}) END""")} AS {a}''' for a in "xy")}, 2.5 AS z FROM mono
+    THEN 2.5 ELSE max(p{a}) - min(p{a}) END""")} AS {a}''' for a in "xy")}, 2.5::DOUBLE AS z FROM mono
     GROUP BY structure""")
 def _(spark, sf):
     flatter = A.monomers(spark, sf).withColumn("p", C("p").withField("z", C("p.z") / 10))
