@@ -272,3 +272,25 @@ VIEWS["heads"] = """SELECT structure, sum(len) || ' ' || count(*) || CASE
     (class IN ('DNA', 'RNA')), 0) || ' ' || sum(len) FILTER (class = 'peptide') || ' '
     || count(*) FILTER (class IN ('DNA', 'RNA')) ELSE '' END AS head FROM strands
     GROUP BY structure"""
+
+
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with base centre, a2 and neighbours inside strands of 32."""
+    from molframe.functions.geometry import cross
+    from molframe.functions.nucleic import base_site
+    p = points(spark, sf)
+    return (p.withColumn("a2", cross(F.col("a1"), F.col("a3")))
+            .withColumn("ns", base_site(F.col("p"), F.col("a1")))
+            .withColumn("n3", F.when(F.col("pos") < 31, F.col("id") + 1))
+            .withColumn("n5", F.when(F.col("pos") > 0, F.col("id") - 1)))
+
+
+VIEWS["sites"] = """SELECT *, x + 0.4 * a1x AS nx, y + 0.4 * a1y AS ny, z + 0.4 * a1z AS nz,
+    a1y*a3z - a1z*a3y AS a2x, a1z*a3x - a1x*a3z AS a2y, a1x*a3y - a1y*a3x AS a2z,
+    CASE WHEN pos < 31 THEN id + 1 END AS n3, CASE WHEN pos > 0 THEN id - 1 END AS n5 FROM pts"""
+VIEWS["cand"] = """SELECT a.id, b.id AS other, a.strand, b.strand AS ostrand,
+    sqrt((a.nx-b.nx)*(a.nx-b.nx) + (a.ny-b.ny)*(a.ny-b.ny) + (a.nz-b.nz)*(a.nz-b.nz)) AS d,
+    a.a1x*b.a1x + a.a1y*b.a1y + a.a1z*b.a1z AS a1, a.a2x*b.a2x + a.a2y*b.a2y + a.a2z*b.a2z AS a2
+    FROM sites a JOIN sites b ON a.type <> b.type AND (a.type + b.type) % 3 = 0 AND a.id <> b.id
+    AND coalesce(a.n3, -1) <> b.id AND coalesce(a.n5, -1) <> b.id
+    AND a.a1x*b.a1x + a.a1y*b.a1y + a.a1z*b.a1z < -0.85"""
