@@ -36,10 +36,10 @@ def contest(score, where="true"):
     WHERE m.t < m.s), tk AS (SELECT id FROM fst UNION SELECT other FROM fst),
     e AS (SELECT DISTINCT least(id, other) AS id, greatest(id, other) AS other, d FROM near
     WHERE id NOT IN (SELECT id FROM tk) AND other NOT IN (SELECT id FROM tk)),
-    sh AS (SELECT at, min((d, id, other)) AS m FROM (SELECT id AS at, * FROM e UNION ALL
-    SELECT other, * FROM e) GROUP BY at),
-    snd AS (SELECT e.* FROM e JOIN sh x ON x.at = e.id AND x.m = (e.d, e.id, e.other)
-    JOIN sh y ON y.at = e.other AND y.m = (e.d, e.id, e.other))
+    sh AS (SELECT nd, min((d, id, other)) AS m FROM (SELECT id AS nd, * FROM e UNION ALL
+    SELECT other, * FROM e) GROUP BY nd),
+    snd AS (SELECT e.* FROM e JOIN sh x ON x.nd = e.id AND x.m = (e.d, e.id, e.other)
+    JOIN sh y ON y.nd = e.other AND y.m = (e.d, e.id, e.other))
     SELECT id, other, {r4('d')} AS d FROM (SELECT * FROM fst UNION ALL SELECT * FROM snd)"""
 
 
