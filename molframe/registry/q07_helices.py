@@ -189,12 +189,12 @@ def helix_members(spark, sf):
     WHERE x.odd), s AS (SELECT *, CASE WHEN lag(pa) OVER t IS NULL THEN greatest(pa, pb) ELSE
     greatest(pa - lag(pa) OVER t, pb - lag(pb) OVER t) END AS step FROM a
     WINDOW t AS (PARTITION BY helix ORDER BY pa)),
-    o AS (SELECT *, sum(step) OVER (PARTITION BY helix ORDER BY pa) AS at FROM s),
-    n AS (SELECT id, at FROM o UNION ALL SELECT bp, at FROM o),
-    j AS (SELECT w.*, n.at FROM w LEFT JOIN n ON n.id = w.id),
-    l AS (SELECT *, last_value(at IGNORE NULLS) OVER f AS lo, last_value(CASE WHEN at IS NOT NULL
-    THEN k END IGNORE NULLS) OVER f AS lk, first_value(at IGNORE NULLS) OVER b AS fo,
-    first_value(CASE WHEN at IS NOT NULL THEN k END IGNORE NULLS) OVER b AS fk FROM j
+    o AS (SELECT *, sum(step) OVER (PARTITION BY helix ORDER BY pa) AS av FROM s),
+    n AS (SELECT id, av FROM o UNION ALL SELECT bp, av FROM o),
+    j AS (SELECT w.*, n.av FROM w LEFT JOIN n ON n.id = w.id),
+    l AS (SELECT *, last_value(av IGNORE NULLS) OVER f AS lo, last_value(CASE WHEN av IS NOT NULL
+    THEN k END IGNORE NULLS) OVER f AS lk, first_value(av IGNORE NULLS) OVER b AS fo,
+    first_value(CASE WHEN av IS NOT NULL THEN k END IGNORE NULLS) OVER b AS fk FROM j
     WINDOW f AS (PARTITION BY helix, odd ORDER BY k ROWS UNBOUNDED PRECEDING),
     b AS (PARTITION BY helix, odd ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT helix, id, CAST(coalesce(lo + k - lk, fo - (fk - k), k) AS BIGINT) AS "offset" FROM l""")
