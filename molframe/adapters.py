@@ -294,3 +294,15 @@ VIEWS["cand"] = """SELECT a.id, b.id AS other, a.strand, b.strand AS ostrand,
     FROM sites a JOIN sites b ON a.type <> b.type AND (a.type + b.type) % 3 = 0 AND a.id <> b.id
     AND coalesce(a.n3, -1) <> b.id AND coalesce(a.n5, -1) <> b.id
     AND a.a1x*b.a1x + a.a1y*b.a1y + a.a1z*b.a1z < -0.85"""
+
+
+def circles(spark: SparkSession, sf: str) -> DataFrame:
+    """Monomers with every fourth strand closed to a circle."""
+    m = monomers(spark, sf)
+    closed = F.col("strand") % 4 == 1
+    return (m.withColumn("n3", F.coalesce("n3", F.when(closed, F.col("id") - F.col("len") + 1)))
+            .withColumn("n5", F.coalesce("n5", F.when(closed, F.col("id") + F.col("len") - 1))))
+
+
+VIEWS["circ"] = """SELECT * REPLACE (coalesce(n3, CASE WHEN strand % 4 = 1 THEN id - len + 1 END) AS n3,
+    coalesce(n5, CASE WHEN strand % 4 = 1 THEN id + len - 1 END) AS n5) FROM mono"""
