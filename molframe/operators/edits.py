@@ -17,6 +17,9 @@ from molframe.plans.ordered import dense_index, neighbours, running
 # Fixed values of ideal helices: turn per step (radians), rise per step, distances.
 DNA_TURN, DNA_RISE, DNA_CENTRE = 35.9 * math.pi / 180, 0.3897628551303122, 0.6
 RNA_TURN, RNA_RISE, RNA_FUDGE = 32.7 * math.pi / 180, 0.3287, 0.4
+START_FRAMES = [("DNA", (0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, -1.0)),
+                ("RNA", (0.0, 0.0, 0.0), (0.0, 0.9636304532086232, -0.2672383760782569),
+                 (0.0, -0.2672383760782569, -0.9636304532086232))]
 RNA_TILT, RNA_CHORD, RNA_DIAMETER = -15.5 * math.pi / 180, 2.0, 2.35
 
 
@@ -366,11 +369,11 @@ def create_strands(sequences: DataFrame, duplex: bool = False) -> DataFrame:
     Result: key, side (1, 2), k (5' -> 3' of side 1), base, class, p, a1, a3. The first base
     stands at the origin, the rest follow the ideal helix towards 3'.
     """
-    rna = F.col("class") == "RNA"
-    ra = vec(0, 0.9636304532086232, -0.2672383760782569)
-    a1 = F.when(rna, ra).otherwise(vec(0, 1, 0))
-    a3 = F.when(rna, cross(ra, vec(1, 0, 0))).otherwise(vec(0, 0, -1))
-    s = sequences.withColumns({"p": vec(0, 0, 0), "a1": a1, "a3": a3, "towards": F.lit("n3")})
+    # one start frame per class, as a table: constants would be folded into every later step
+    frames = sequences.sparkSession.createDataFrame(
+        START_FRAMES, "class string, p struct<x:double,y:double,z:double>, "
+        "a1 struct<x:double,y:double,z:double>, a3 struct<x:double,y:double,z:double>")
+    s = sequences.join(F.broadcast(frames), "class").withColumn("towards", F.lit("n3"))
     first = s.select("key", "class", F.lit(0).alias("k"), F.substring("sequence", 1, 1).alias("letter"),
                      "p", "a1", "a3", add(F.col("p"), scale(F.col("a1"), 1.2)).alias("q"),
                      scale(F.col("a1"), -1.0).alias("b1"), scale(F.col("a3"), -1.0).alias("b3"))

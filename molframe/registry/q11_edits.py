@@ -96,8 +96,8 @@ def _(spark, sf):
     return E.skip(m, m.filter((C("id") % 40).isin(3, 4))).select(*OUT, "bp")
 
 
-@query("edt_ligate", """WITH s AS (SELECT *, strand % 5 AS g, greatest(1, CASE WHEN strand % 5 < 3 THEN
-    strand - strand % 5 ELSE strand END) AS head FROM strands), b AS (SELECT *, sum(len) OVER
+@query("edt_ligate", """WITH s AS (SELECT *, strand % 5 AS g, CASE WHEN strand % 5 < 3 THEN
+    strand - strand % 5 ELSE strand END AS head FROM strands), b AS (SELECT *, sum(len) OVER
     (PARTITION BY head ORDER BY strand) - len AS before FROM s)
     SELECT m.id, b.head AS strand, CAST(b.before + m.pos AS BIGINT) AS pos, CASE WHEN m.n3 IS NOT NULL
     THEN m.n3 WHEN b.g = 3 THEN b.first WHEN b.g < 2 THEN x.first END AS n3,
@@ -132,13 +132,13 @@ def bb(a, t="m"):
     SELECT id, strand, row_number() OVER w - 1 AS pos, base, coalesce(lead(id) OVER w,
     CASE WHEN strand % 4 = 1 THEN first_value(id) OVER w END) AS n3, coalesce(lag(id) OVER w,
     CASE WHEN strand % 4 = 1 THEN last_value(id) OVER (PARTITION BY strand ORDER BY pos, sub ROWS
-    BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS n5, {r4('px', 6)} AS x,
-    {r4('py', 6)} AS y, {r4('pz', 6)} AS z FROM u WINDOW w AS (PARTITION BY strand ORDER BY pos, sub)""")
+    BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS n5, {r4('px', 8)} AS x,
+    {r4('py', 8)} AS y, {r4('pz', 8)} AS z FROM u WINDOW w AS (PARTITION BY strand ORDER BY pos, sub)""")
 def _(spark, sf):
     m = A.circles(spark, sf)
     ends = m.filter((C("id") % 500 == 9) | C("n3").isNull())
     out, _refused = E.insert(m, ends.select("id", F.lit("ACG").alias("sequence")))
-    return out.select("id", "strand", "pos", "base", "n3", "n5", *flat(C("p"), "", 6))
+    return out.select("id", "strand", "pos", "base", "n3", "n5", *flat(C("p"), "", 8))
 
 
 @query("edt_set_sequence", """WITH s AS (SELECT id, bp, class, row_number() OVER (ORDER BY strand DESC,
