@@ -40,9 +40,11 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage of an iterative job: a table written to the shared folder.
+
+    Unlike an RDD checkpoint the table has sizes, so the next join can choose its strategy.
+    """
+    return materialise(df, "round")
 
 
 def remember(spark: SparkSession, key: str, build) -> DataFrame:

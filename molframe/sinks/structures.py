@@ -11,6 +11,7 @@ from molframe.functions.geometry import scale
 from molframe.functions.nucleic import NM, backbone_site, base_site
 from molframe.operators.sequences import sequences
 from molframe.plans.ordered import dense_index, running
+from molframe.session import settle
 from molframe.sinks.lines import with_header
 
 SCAFFOLD = 1000
@@ -86,7 +87,7 @@ def topology_old(mono: DataFrame) -> DataFrame:
     own, where ``mono`` has ``connections``.
     """
     mono = mono.join(mixed_structures(mono), "structure", "left_anti")
-    new = renumber(mono, False)
+    new = settle(renumber(mono, False))  # used by five joins
     link = lambda c: new.select("structure", F.col("id").alias(c), F.col("new_id").alias("_" + c))
     d = (mono.join(new, ["structure", "id"]).join(link("n3"), ["structure", "n3"], "left")
          .join(link("n5"), ["structure", "n5"], "left"))
@@ -159,7 +160,7 @@ def configuration(mono: DataFrame, new_format: bool = True) -> DataFrame:
 
 def edges_par(mono: DataFrame, edges: DataFrame) -> DataFrame:
     """Network edges in new ids. ``edges``: structure, p1, p2, eq_dist, type, k, extra."""
-    new = renumber(mono, True).select("structure", "id", "new_id")
+    new = settle(renumber(mono, True).select("structure", "id", "new_id"))
     a = new.toDF("structure", "p1", "n1")
     b = new.toDF("structure", "p2", "n2")
     head = counts(mono).select(F.col("structure").alias("file"),
@@ -336,7 +337,7 @@ def forces_text(mono: DataFrame, forces: DataFrame, new_format: bool = True
 
     ``forces``: structure, ord, type, particle, ref_particle, stiff, r0, pbc.
     """
-    new = renumber(mono, new_format).select("structure", "id", "new_id")
+    new = settle(renumber(mono, new_format).select("structure", "id", "new_id"))
     d = (forces.join(new.toDF("structure", "particle", "_a"), ["structure", "particle"], "left")
          .join(new.toDF("structure", "ref_particle", "_b"), ["structure", "ref_particle"], "left"))
     ok = F.col("_a").isNotNull() & F.col("_b").isNotNull()
