@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from molframe.session import materialise, width
+from molframe.session import materialise
 
 CHUNK = 1 << 16
 
@@ -20,10 +20,11 @@ def dense_index(df: DataFrame, group: list[str], order: list[str],
     """Global row number, position inside the group and group size, all from 0.
 
     ``group + order`` must be unique. The range shuffle balances by the full key, so hot
-    groups are split; what is broadcast is one row per range partition.
+    groups are split; what is broadcast is one row per range partition, at most the session's
+    shuffle partitions (fewer where AQE joins small ones).
     """
     keys = [*group, *order]
-    ranged = (df.repartitionByRange(width(df.sparkSession), *keys)
+    ranged = (df.repartitionByRange(*keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     stored = (materialise(ranged, "ranged")

@@ -195,7 +195,7 @@ def _(spark, sf):
     traps = trap_table(spark, sf).select("structure", "ord", F.to_json(F.struct(
         "type", C("particle").cast("string").alias("particle"), "ref_particle", "stiff", "r0",
         C("pbc").alias("PBC"))).alias("json"))
-    path = written(X.design_json(m, 100.0, traps), ".oxview")
+    path = written(X.design_json(m, 100.0, traps), ".json")
     d = J.read_design(spark, path)
     return d.select("file", "system", "strand", "pos", "id", "base", "class", "n3", "n5", "bp",
                     "cluster", "color", r(C("p.x"), 6).alias("x"), C("a1.x").alias("a1_x"),

@@ -53,8 +53,3 @@ def remember(spark: SparkSession, key: str, build) -> DataFrame:
     if full not in _memo:
         _memo[full] = build()
     return _memo[full]
-
-
-def width(spark: SparkSession) -> int:
-    """Number of range partitions: the cluster's own shuffle width."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

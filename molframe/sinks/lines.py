@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from molframe.session import width
-
 
 def write_lines(lines: DataFrame, path: str, suffix: str = ".txt") -> None:
     """Write each file as ordered part files under ``path/file=<name>/``.
@@ -14,7 +12,7 @@ def write_lines(lines: DataFrame, path: str, suffix: str = ".txt") -> None:
     names sort in line order, so reading or concatenating them by name gives the file.
     """
     (lines.select("file", "line_no", "line")
-     .repartitionByRange(width(lines.sparkSession), "file", "line_no")
+     .repartitionByRange("file", "line_no")
      .sortWithinPartitions("file", "line_no").select("file", "line")
      .write.partitionBy("file").option("fileExtension", suffix.lstrip(".")).text(path))
 

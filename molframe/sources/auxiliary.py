@@ -101,7 +101,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, sequence: cadnano CSV (third field) or one per line; ? becomes N."""
+    """file, line_no, sequence: design CSV (third field) or one per line; ? becomes N."""
     lines = read_lines(spark, path)
     csv = lines.filter((F.col("line_no") == 0) & F.col("line").startswith(
         "Start,End,Sequence,Length,Color")).select("file", F.lit(True).alias("_csv"))
