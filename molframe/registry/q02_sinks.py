@@ -132,14 +132,12 @@ def trap_table(spark, sf):
     bool_and(ok) AS same FROM (SELECT structure AS file, count(*) AS n, min(id) AS first,
     true AS ok FROM mono WHERE class <> 'sphere' GROUP BY structure) GROUP BY file""")
 def _(spark, sf):
-    # the document is parsed again: every monomer must come back as it was
-    from molframe.sources.json_files import DESIGN
+    # each monomer line is parsed on its own: every monomer must come back as it was
+    from molframe.sources.json_files import MONOMER
     m = A.monomers(spark, sf).filter(C("class") != "sphere")
-    doc = _document(X.design_json(m, 100.0))
-    d = doc.select("file", F.from_json("text", DESIGN).alias("d"))
-    back = (d.select("file", F.explode("d.systems").alias("s"))
-            .select("file", F.explode("s.strands").alias("t"))
-            .select("file", C("t.id").alias("strand"), F.explode("t.monomers").alias("m")))
+    body = X.design_json(m, 100.0).filter(C("line").startswith('{"id":') & F.contains(
+        "line", F.lit('"type":')))
+    back = body.select("file", F.from_json(F.regexp_replace("line", ",$", ""), MONOMER).alias("m"))
     same = (C("m.type") == C("base")) & (C("m.p")[0] == C("p.x")) & (
         F.coalesce("m.n3", F.lit(-1)) == F.coalesce("n3", F.lit(-1))) & (
         F.coalesce("m.bp", F.lit(-1)) == F.coalesce("bp", F.lit(-1)))
@@ -148,30 +146,18 @@ def _(spark, sf):
                                       F.min("id").alias("first"), F.bool_and(same).alias("same"))
 
 
-def _document(lines):
-    """Whole text per file, as a reader of the written parts would see it."""
-    each = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("file").agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n")
-                                     .alias("text"))
-
-
 @query("snk_unf_json", """SELECT structure AS file, count(*) FILTER (class <> 'peptide') AS n_nt,
     count(*) FILTER (class = 'peptide') AS n_aa, count(*) FILTER (cluster > 0) AS grouped,
     count(DISTINCT strand) FILTER (len > 1000) AS scaffolds FROM mono WHERE class <> 'sphere'
     GROUP BY structure""")
 def _(spark, sf):
-    doc = _document(X.unf_json(A.monomers(spark, sf), 100.0))
-    schema = ("struct<structures:array<struct<naStrands:array<struct<id:bigint,isScaffold:boolean,"
-              "nucleotides:array<struct<id:bigint>>>>,aaChains:array<struct<aminoAcids:array<struct<"
-              "id:bigint>>>>>>,groups:array<struct<id:bigint,includedObjects:array<bigint>>>>")
-    d = doc.select("file", F.from_json("text", schema).alias("d"))
-    s = F.get("d.structures", F.lit(0))
-    total = lambda arrays: F.aggregate(arrays, F.lit(0).cast("bigint"), lambda a, x: a + F.size(x))
-    return d.select("file", total(s["naStrands"]["nucleotides"]).alias("n_nt"),
-                    total(s["aaChains"]["aminoAcids"]).alias("n_aa"),
-                    total(C("d.groups")["includedObjects"]).alias("grouped"),
-                    F.size(F.filter(s["naStrands"], lambda t: t["isScaffold"])).cast("bigint")
-                    .alias("scaffolds"))
+    # counted line by line; src_unf_json reads the whole document back
+    l = X.unf_json(A.monomers(spark, sf), 100.0)
+    has = lambda text: F.contains("line", F.lit(text))
+    return l.groupBy("file").agg(
+        F.count_if(has('"nbAbbrev":')).alias("n_nt"), F.count_if(has('"aaAbbrev":')).alias("n_aa"),
+        F.count_if(C("line").rlike(r"^,?\d+$")).alias("grouped"),
+        F.count_if(has('"isScaffold":true')).alias("scaffolds"))
 
 
 @query("snk_forces", """WITH t AS (SELECT m.structure, m.id AS ord, n.new_new AS a, b.new_new AS b
