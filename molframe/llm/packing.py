@@ -151,7 +151,7 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[Counter,
     """Patterns (size -> count) and how often each is used; every demand is met exactly.
 
     Revised simplex over equality rows, one per size. It starts from patterns of one size and ends
-    when no pattern is worth more than ``1 + GAP`` sequences, or after 20 pivots per size.
+    within ``GAP`` of a lower bound, or after 20 pivots per size.
     """
     if not demand:
         return []
@@ -161,7 +161,8 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[Counter,
     inverse, used = np.diag(1.0 / np.diag(basis)), need / np.diag(basis)
     for _ in range(20 * len(sizes)):
         worth, column = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if worth <= 1 + GAP:
+        # no plan has fewer sequences than the sizes fill, or than the duals say
+        if used.sum() <= (1 + GAP) * max(need @ sizes / capacity, used.sum() / max(worth, 1)):
             break
         step = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
