@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from molframe.llm.core import query, table, texts
+from molframe.llm.linking import link
 from molframe.llm.unit_cache import UnitCache, once
-from molframe.plans.graph import components
 from molframe.session import materialise
 
 #: Rows of a band and bands: at similarity 0.8 a pair is missed with probability 3e-6.
@@ -31,9 +31,6 @@ ROWS, BANDS = 5, 32
 SIMILARITY = 80
 #: Shingles that are hashed at once.
 CHUNK = 200_000
-#: Pairs compared in full for each candidate that is left; above it, one more central member goes first
-#: as long as that halves them.
-PAIRS_EACH = 6
 #: Ids of which a broadcast is at most 16 MB.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -139,55 +136,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return sized.filter(100 * common >= similarity * (na + nb - common)).select("a", "b")
 
 
-def _groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("id"))
-    moved = labels.filter("id != label").select("id", "label")
-    return members.join(moved, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def link(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """id, label for every candidate: the smallest id of its group.
-
-    ``members``: key, id. Pairs of a key are compared unless they are in one group already.
-    """
-    nodes = materialise(members.select("id").distinct(), "nodes")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    left = materialise(members.join(weight, "id"), "members")
-    labels = edges = before = None
-    while True:
-        grouped = materialise(_groups(left, labels), "grouped")
-        inside = grouped.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        per_key = materialise(inside.groupBy("key").agg(
-            F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"),
-            F.max_by("label", "c").alias("main")).filter("n * n > sq"), "keys")
-        total = per_key.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)
-                            .alias("p")).first()
-        if not total["n"]:
-            break
-        open_ = grouped.join(per_key.select("key", "main"), "key")
-        # all that is left at once if it is little, or if the last central members joined little
-        last = total["p"] <= PAIRS_EACH * total["n"] or (before is not None and 2 * total["p"] > before)
-        before = total["p"]
-        if last:
-            other = open_.select("key", F.col("id").alias("_id"), F.col("label").alias("_label"))
-            met = (open_.filter("label != main").join(other, "key").filter("label != _label")
-                   .select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")))
-        else:
-            centre = open_.groupBy("key").agg(F.max_by(F.struct("id", "label"), F.struct(
-                "weight", -F.col("id"))).alias("top")).select("key", "top.*").toDF("key", "top", "top_label")
-            open_ = materialise(open_.join(centre, "key"), "open")
-            met = open_.filter("label != top_label").select(F.col("top").alias("a"), F.col("id").alias("b"))
-            left = open_.filter("id != top").select("key", "id", "weight")
-        new = materialise(_confirmed(met.distinct(), sets, similarity), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = materialise(components(nodes, edges), "labels")
-        if last:
-            break
-    return nodes.withColumn("label", F.col("id")) if labels is None else labels
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -207,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
     few = needed.count() <= BROADCAST_IDS
     chosen = rows.dropna(subset=["doc_id"]).join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     sets = materialise(shingle_sets(chosen, k), "sets")
-    labels = link(members, sets, similarity).filter("id != label").select(
+    labels = link(members, lambda pairs: _confirmed(pairs, sets, similarity)).filter("id != label").select(
         F.col("id").alias("rep"), "label")
     of = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(
         labels, "rep", "left")
