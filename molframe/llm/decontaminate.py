@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molframe.llm.core import query, table, texts
+from molframe.llm.core import query, table
 from molframe.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -28,7 +28,6 @@ SHARD_TOKENS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
                   or c >= 128 else 32 for c in range(256))
-SPANS = "spans array<struct<start:bigint,length:bigint>>, items array<string>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -139,14 +138,17 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
                   window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, spans, items: one row per row of ``docs``.
+    """doc_id, text, n_words, spans, items, row (all columns): one row per row of ``docs``.
 
     ``spans`` are the removal spans (first word, number of words) that occurrences of windows of
     ``window`` words cover, merged; ``items`` the items they come from, sorted as strings. An item
     of fewer words is one window; a null text has no words; a null item id is the empty string.
     """
-    rows = texts(docs).selectExpr("doc_id", "text", "0L AS n_words", "CAST(array() AS array<struct<"
-                                  "start:bigint,length:bigint>>) AS spans", "CAST(array() AS array<string>) AS items")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                       F.lit(0).cast("bigint").alias("n_words"),
+                       F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"),
+                       F.array().cast("array<string>").alias("items"),
+                       F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     spark = docs.sparkSession
     shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
@@ -164,10 +166,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
                     items.append(sorted({*i, *own}))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text"), pa.array(map(len, split), pa.int64()),
-                     pa.array(spans, shape), pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "spans", "items"])
+                     pa.array(spans, shape), pa.array(items, pa.list_(pa.string())), batch.column("row")],
+                    ["doc_id", "text", "n_words", "spans", "items", "row"])
 
-        return rows.mapInArrow(mark, f"doc_id long, text string, n_words long, {SPANS}")
+        return rows.mapInArrow(mark, rows.schema)
 
     some = False
     for phrases in blocks(benchmark, item_col, window):
@@ -187,21 +189,23 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
                   window: int = WINDOW) -> DataFrame:
-    """doc_id, text: the texts without their removal spans; nulls become empty texts."""
+    """``docs`` (all columns) with the removal spans cut out of ``text``; nulls become empty texts."""
+    marked = contamination(docs, benchmark, item_col, window).select("text", "spans", "row")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [cut_spans(t, [(x["start"], x["length"]) for x in s]) if s else t for t, s in zip(
                 batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(done, pa.string())],
-                                             ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), batch.column("row")], ["text", "row"])
 
-    marked = contamination(docs, benchmark, item_col, window).select("doc_id", "text", "spans")
-    return marked.mapInArrow(cut, "doc_id long, text string")
+    shape = marked.select("text", "row").schema
+    return marked.mapInArrow(cut, shape).select(
+        *[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op4_decontamination")
 def op4_decontamination(spark, sf_dir):
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words",
         F.expr("aggregate(spans, 0L, (a, x) -> a + x.length)").alias("n_hit"),

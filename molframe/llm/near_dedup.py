@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from molframe.llm.core import query, table, texts
 from molframe.llm.linking import link
@@ -31,6 +31,9 @@ ROWS, BANDS = 5, 32
 SIMILARITY = 80
 #: Shingles that are hashed at once.
 CHUNK = 200_000
+#: Documents in keys of ``CROWD`` and more carry a sketch of ``64 * LONGS`` single bits of a longer
+#: signature; pairs that it puts ``SLACK`` percent (4.5 standard deviations) too low are not compared.
+CROWD, LONGS, SLACK = 64, 32, 6
 #: Ids of which a broadcast is at most 16 MB.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -66,7 +69,7 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     doc = np.repeat(np.arange(len(sets)), sizes)
     none = _U(0xFFFFFFFFFFFFFFFF)
     signature = np.full(len(sets) * slots, none, np.uint64)
-    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(element), 1))
+    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(element), 1))
     row = np.arange(len(element))
     for j in range(slots):
         if not len(row):
@@ -125,6 +128,35 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(build, "id long, set array<long>")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, sketch: the lowest bit of each slot of a signature of ``64 * LONGS`` slots."""
+    slots = 64 * LONGS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [s.values.to_numpy().view(np.uint64) for s in batch.column("set")]
+            rows: list[np.ndarray] = []
+            first = size = 0
+            for i, s in enumerate(own):
+                size += len(s)
+                if size * slots >= CHUNK * 256 or i + 1 == len(own):
+                    bits = super_minhash(own[first:i + 1], slots) & _U(1)
+                    rows += list(np.packbits(bits.astype(bool), axis=1).view(np.int64))
+                    first, size = i + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int64()))],
+                                             ["id", "sketch"])
+
+    return sets.select("id", "set").mapInArrow(build, "id long, sketch array<long>")
+
+
+def _near(a: list[Column], b: list[Column], similarity: int) -> Column:
+    """Whether the sketches allow a link; true where one is missing."""
+    apart = F.lit(0)
+    for i in range(LONGS):
+        apart = apart + F.bit_count(a[0][i].bitwiseXOR(b[0][i]))
+    return F.coalesce(apart * 200 <= 64 * LONGS * (100 - similarity + SLACK), F.lit(True))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose sets have 100 * intersection >= similarity * union."""
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("_sa"))
@@ -155,7 +187,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
     few = needed.count() <= BROADCAST_IDS
     chosen = rows.dropna(subset=["doc_id"]).join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     sets = materialise(shingle_sets(chosen, k), "sets")
-    labels = link(members, lambda pairs: _confirmed(pairs, sets, similarity)).filter("id != label").select(
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWD)
+    crowd = members.join(crowded.select("key"), "key", "left_semi").select("id").distinct()
+    sketched = materialise(sketches(sets.join(crowd, "id", "left_semi")), "sketches")
+    members = members.join(sketched, "id", "left")
+    labels = link(members, lambda pairs: _confirmed(pairs, sets, similarity), None, ["sketch"],
+                  lambda a, b: _near(a, b, similarity)).filter("id != label").select(
         F.col("id").alias("rep"), "label")
     of = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(
         labels, "rep", "left")
@@ -164,6 +201,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = SIMILARITY) -
                      F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``removed``; null ids stay."""
+    ids = materialise(removed.select(F.col("doc_id").alias("_id")).distinct(), "removed")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("bigint") == F.col("_id"), "left_anti")
+
+
 @query("op9_near_dedup")
 def op9_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)

@@ -16,8 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from molframe.llm.core import SPACE, UPPER, query, table, texts, words
-from molframe.session import materialise
+from molframe.llm.core import SPACE, UPPER, query, table, words
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, CUTS = 40, 3, 32
@@ -26,8 +25,13 @@ STATISTICS = ["n_words", "word_length", "upper", "digits", "symbols", "exclamati
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the ``STATISTICS`` (double) of whole texts; all 0 for texts without words."""
-    rows = texts(docs).select("doc_id", "text", words(F.col("text")).alias("w"), F.filter(
+    """doc_id, row (all columns of ``docs``) and the ``STATISTICS`` (double) of whole texts.
+
+    All statistics are 0 for texts without words.
+    """
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                        F.coalesce("text", F.lit("")).alias("text"))
+    rows = given.select("row", "doc_id", "text", words(F.col("text")).alias("w"), F.filter(
         F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("lines"))
     hashed = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     paired = hashed.withColumn("pairs", F.expr(
@@ -39,7 +43,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     lines, apart = F.size("lines"), F.size(F.array_distinct("h"))
     return paired.select(
-        "doc_id", n.cast("double").alias("n_words"),
+        "doc_id", "row", n.cast("double").alias("n_words"),
         per_word(F.length(F.translate("text", SPACE, ""))).alias("word_length"),
         per_word(without(UPPER)).alias("upper"), per_word(without("0123456789")).alias("digits"),
         per_word(without("#*$%&|<>{}[]=_~^@\\")).alias("symbols"), per_word(without("!?")).alias("exclamations"),
@@ -173,33 +177,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
-    """Fit on labelled documents that are not held out, at most ``rows`` by the hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
+    """Fit on labelled documents that are not held out, at most ``rows`` labels by the hash of the id.
+
+    Only the documents of the sample are read into statistics.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "quality").filter(~held_out(F.col("doc_id")))
+        F.col("doc_id").cast("bigint").alias("doc_id"), "quality").filter(
+        ~held_out(F.col("doc_id"))).dropna().dropDuplicates(["doc_id"])
     total = known.count()
     if total > 2 * rows:
         # the hash that orders the sample also thins it out, so that no task sorts all labels
         share = 1.5 * rows / total
         known = known.filter(F.xxhash64("doc_id") < F.lit(int((share * 2 - 1) * (1 << 63))))
-    sample = (stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "quality")
-              .limit(rows).select(*STATISTICS, "quality").collect())
-    data = np.array([tuple(r) for r in sample], float).reshape(len(sample), len(STATISTICS) + 1)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # at most ``rows`` short rows; rows that repeat a doc_id count once
+    wanted = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(
+        F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = statistics(wanted).select("doc_id", *STATISTICS, F.col("row.quality").alias("quality"))
+    sample = found.orderBy("doc_id").collect()
+    data = np.array([tuple(r)[1:] for r in sample], float).reshape(len(sample), len(STATISTICS) + 1)
     return fit(data[:, :-1], data[:, -1])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of ``docs``.
+    """doc_id, held_out, score, predicted and row (all columns): one row per row of ``docs``.
 
     Null and empty texts have statistics of 0 and are scored like any other; without labels of
-    both kinds every score is the smoothed share of label 1.
+    both kinds every score is the smoothed share of label 1. One scan, no shuffle.
+    """
+    score = train(docs.select("doc_id", "text"), labels, rows).score()
+    return statistics(docs).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), "row").withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that are predicted 1, with their own columns.
+
+    A filter would be pushed below the statistics and compute them for every rule; the generator
+    keeps it above.
     """
-    stats = materialise(statistics(docs), "statistics")
-    score = train(stats, labels, rows).score()
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")
-                        ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = scored.select(F.explode_outer(F.when(F.col("predicted") == 1, F.array("row"))).alias("row"))
+    return kept.filter("row IS NOT NULL").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 @query("op2_quality_classifier")
 def op2_quality_classifier(spark, sf_dir):
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).drop("row")
