@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from molframe.functions.geometry import unit, vec
+from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
 from molframe.session import materialise, remember
 
@@ -65,9 +66,9 @@ def monomers(spark: SparkSession, sf: str) -> DataFrame:
             "mate", F.when(
                 F.col("class").isin("DNA", "RNA") & (F.col("pos") < F.least("len", "p_len")),
                 F.col("p_first") + F.least("len", "p_len") - 1 - F.col("pos")))
-        other = _base(spark, sf).select(F.col("id").alias("mate"), F.col("code").alias("m_code"))
-        # mates are unique ids, so this join has no hot key
-        m = m.join(other, "mate", "left")
+        other = _base(spark, sf).select(F.col("id").alias("_mate"), F.col("code").alias("m_code"))
+        # mates are unique ids, so this join has no hot key once rows without one are spread
+        m = m.withColumn("_mate", spread_nulls("mate", "id")).join(other, "_mate", "left")
         q, pos = F.col("l_quantity"), F.col("pos")
         turn = pos % 4
         return materialise(m.select(
@@ -165,9 +166,11 @@ VIEWS = {
         a.e / 1000 AS px, a.q AS py, round(a.d * 100) AS pz,
         CASE a.pos % 4 WHEN 0 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END::DOUBLE AS ax,
         CASE a.pos % 4 WHEN 1 THEN 1.0 WHEN 3 THEN -1.0 ELSE 0.0 END::DOUBLE AS ay
-        FROM m0 a LEFT JOIN m0 b ON a.class IN ('DNA','RNA') AND b.class IN ('DNA','RNA')
-        AND b.strand = CASE WHEN a.strand % 2 = 1 THEN a.strand + 1 ELSE a.strand - 1 END
-        AND b.pos = least(a.len, b.len) - 1 - a.pos AND (a.code + b.code) % 4 <> 0""",
+        FROM (SELECT m.*, CASE WHEN m.class IN ('DNA', 'RNA') THEN o.strand END AS ps,
+            least(m.len, o.n) - 1 - m.pos AS pp FROM m0 m LEFT JOIN (SELECT strand, count(*) AS n
+            FROM m0 WHERE class IN ('DNA', 'RNA') GROUP BY strand) o ON o.strand = CASE
+            WHEN m.strand % 2 = 1 THEN m.strand + 1 ELSE m.strand - 1 END) a
+        LEFT JOIN m0 b ON b.strand = a.ps AND b.pos = a.pp AND (a.code + b.code) % 4 <> 0""",
     "strands": """SELECT strand, min(id) AS first, max(len) AS len, max(class) AS class,
         max(structure) AS structure FROM m0 GROUP BY strand""",
     "pts0": """SELECT vec_id AS id, vec_id // 32 AS strand, vec_id % 32 AS pos, label,

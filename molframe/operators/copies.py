@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from molframe.functions.geometry import add, vec
+from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
 
 
@@ -22,13 +23,16 @@ def copy_remap(mono: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame
     last = mono.agg(F.max("cluster").alias("m")).scalar()
     groups = dense_index(src.filter(F.col("cluster") > 0).select("cluster").distinct(), [],
                          ["cluster"], "_g", "_c").select("cluster", "_c")
-    src = src.join(groups, "cluster", "left")
+    src = src.withColumn("_key", spread_nulls("cluster", "id")).join(
+        groups.withColumnRenamed("cluster", "_key"), "_key", "left").drop("_key")
     # monomers outside that could take a link or a pair
     outer = mono.select("id", F.col("n5").isNull().alias("_o5"), F.col("n3").isNull().alias("_o3"),
                         F.col("bp").isNull().alias("_ob"))
     for c, free in (("n3", "_o5"), ("n5", "_o3"), ("bp", "_ob")):
-        src = src.join(new.select(F.col("old").alias(c), F.col("_k").alias(f"_in_{c}")), c, "left")
-        src = src.join(outer.select(F.col("id").alias(c), F.col(free).alias(f"_open_{c}")), c, "left")
+        src = src.withColumn("_key", spread_nulls(c, "id"))
+        src = src.join(new.select(F.col("old").alias("_key"), F.col("_k").alias(f"_in_{c}")), "_key", "left")
+        src = src.join(outer.select(F.col("id").alias("_key"), F.col(free).alias(f"_open_{c}")), "_key",
+                       "left").drop("_key")
     fresh = lambda k: top + 1 + F.col(k)
     s = src.withColumn("_new", fresh("_k"))
     outside = lambda c: F.when(F.col(f"_in_{c}").isNull() & F.col(f"_open_{c}"), F.col(c))
@@ -61,6 +65,7 @@ def merge_systems(mono: DataFrame) -> DataFrame:
                       "_p")
     key = lambda c, out: dense_index(mono.filter(F.col(c).isNotNull()).select("file", c).distinct(),
                                      [], ["file", c], "_g", out).select("file", c, out)
-    d = ids.join(key("strand", "new_strand"), ["file", "strand"]).join(
-        key("cluster", "_c"), ["file", "cluster"], "left")
+    d = ids.join(key("strand", "new_strand"), ["file", "strand"])
+    d = d.withColumn("_key", spread_nulls("cluster", "id")).join(
+        key("cluster", "_c").withColumnRenamed("cluster", "_key"), ["file", "_key"], "left")
     return d.select("file", "id", "new_id", "new_strand", (F.col("_c") + 1).alias("new_cluster"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from molframe.functions.geometry import add, cross, dot, mean, rotate, scale, sub, unit, vec
 from molframe.functions.nucleic import backbone_site, complement
-from molframe.plans.graph import rank
+from molframe.plans.graph import rank, spread_nulls
 from molframe.plans.ordered import dense_index, neighbours, running
 
 # Fixed values of ideal helices: turn per step (radians), rise per step, distances.
@@ -104,8 +104,9 @@ def delete(mono: DataFrame, gone: DataFrame) -> DataFrame:
     d = _opened(mono, g)
     d = d.join(g, "id", "left_anti")
     for c in ("n3", "n5", "bp"):
-        lost = g.select(F.col("id").alias(c), F.lit(True).alias("_lost"))
-        d = d.join(lost, c, "left").withColumn(c, F.when(F.col("_lost").isNull(), F.col(c))).drop("_lost")
+        lost = g.select(F.col("id").alias("_key"), F.lit(True).alias("_lost"))
+        d = d.withColumn("_key", spread_nulls(c, "id")).join(lost, "_key", "left").withColumn(
+            c, F.when(F.col("_lost").isNull(), F.col(c))).drop("_lost", "_key")
     return split_strands(d, F.col("n5").isNull(), "_order").drop("_order")
 
 
@@ -121,9 +122,10 @@ def skip(mono: DataFrame, gone: DataFrame) -> DataFrame:
     d = d.join(s, "strand").join(ends, "strand")
     d = d.withColumns({"n3": F.coalesce("_n3", F.when(F.col("_circ"), F.col("_first"))),
                        "n5": F.coalesce("_n5", F.when(F.col("_circ"), F.col("_last")))})
-    lost = g.select(F.col("id").alias("bp"), F.lit(True).alias("_lost"))
-    d = d.join(lost, "bp", "left").withColumn("bp", F.when(F.col("_lost").isNull(), F.col("bp")))
-    return d.drop("_n3", "_n5", "_circ", "_first", "_last", "_lost", "len")
+    lost = g.select(F.col("id").alias("_key"), F.lit(True).alias("_lost"))
+    d = d.withColumn("_key", spread_nulls("bp", "id")).join(lost, "_key", "left").withColumn(
+        "bp", F.when(F.col("_lost").isNull(), F.col("bp")))
+    return d.drop("_key", "_n3", "_n5", "_circ", "_first", "_last", "_lost", "len")
 
 
 def _letters(table: DataFrame) -> DataFrame:

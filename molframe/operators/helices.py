@@ -276,9 +276,11 @@ def axis_fit(mono: DataFrame, runs: DataFrame) -> DataFrame:
     for c in ("start1", "end1", "start2", "end2"):
         e = e.join(point(c), c)
     guess = sub(add(F.col("_end1"), F.col("_start2")), add(F.col("_start1"), F.col("_end2")))
-    return axis.join(e.select(*RUN, "n", guess.alias("_g")), RUN).select(
-        *RUN, "n", F.when(dot(F.col("axis"), F.col("_g")) < 0, scale(F.col("axis"), -1.0))
-        .otherwise(F.col("axis")).alias("axis"))
+    # two pairs have too few steps for a fit: their axis is the line between the pairs' middles
+    fitted = F.when(dot(F.col("axis"), F.col("_g")) < 0, scale(F.col("axis"), -1.0)).otherwise(F.col("axis"))
+    line = F.when(dot(F.col("_g"), F.col("_g")) > 0, unit(F.col("_g")))
+    return e.select(*RUN, "n", guess.alias("_g")).join(axis.select(*RUN, "axis"), RUN, "left").select(
+        *RUN, "n", F.when(F.col("n") > 2, fitted).otherwise(line).alias("axis"))
 
 
 def smallest_eigenvector(m: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-# Boltzmann constant and force unit in simulation terms, solver bounds.
-KB, SIM_FORCE, TOLERANCE, LARGEST = 0.00138064852, 0.05709, 1e-6, 1500
+# Fixed value: force unit in simulation terms.
+SIM_FORCE = 0.05709
 
 
 def hessian(edges: DataFrame, particles: DataFrame, by: list[str]) -> DataFrame:
@@ -36,30 +34,6 @@ def hessian(edges: DataFrame, particles: DataFrame, by: list[str]) -> DataFrame:
             .groupBy(*by, "row", "col").agg(F.sum("value").alias("value")))
 
 
-def network_msf(entries: DataFrame, sizes: DataFrame, temperature: float, by: str = "structure"
-                ) -> tuple[DataFrame, DataFrame]:
-    """(mean square fluctuations: by, id, msf; structures too large to solve).
-
-    kB T times the trace of the 3x3 diagonal blocks of the pseudo-inverse. ``sizes``: by, n.
-    One structure of at most 1500 particles is one task; larger ones are reported.
-    """
-    large = sizes.filter(F.col("n") > LARGEST)
-    fit = entries.join(sizes.filter(F.col("n") <= LARGEST), by)
-    key = fit.schema[by].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        h = np.zeros((3 * n, 3 * n))
-        h[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf["value"].to_numpy()
-        w, v = np.linalg.eigh(h)
-        inverse = np.divide(1.0, w, out=np.zeros_like(w), where=np.abs(w) >= TOLERANCE)
-        diagonal = (v * v) @ inverse
-        return pd.DataFrame({by: pdf[by].iloc[0], "id": np.arange(n),
-                             "msf": KB * temperature * diagonal.reshape(n, 3).sum(axis=1)})
-
-    return fit.groupBy(by).applyInPandas(solve, f"{by} {key}, id bigint, msf double"), large
-
-
 def fit_network(msf: DataFrame, target: DataFrame, by: str = "structure"
                 ) -> tuple[DataFrame, DataFrame]:
     """(fits: by, m, k, sim_k; structures whose target has another length).

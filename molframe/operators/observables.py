@@ -1,11 +1,10 @@
-"""User-defined observables over frames."""
+"""User-defined observables over frames: DataFrame transforms under a name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 _observables: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -15,23 +14,6 @@ def register_observable(name: str, fn: Callable[[DataFrame], DataFrame]) -> None
     _observables[name] = fn
 
 
-def register_pandas_observable(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                               by: tuple[str, ...] = ("selection", "frame"),
-                               largest: int = 1_000_000) -> None:
-    """Keep a function of the rows of one (selection, frame) under a name.
-
-    Groups of more than ``largest`` rows would not fit a Python worker: they are refused with an
-    error, and such an observable should be a DataFrame transform instead.
-    """
-    def run(frames: DataFrame) -> DataFrame:
-        def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(pdf) > largest:
-                raise ValueError(f"observable {name}: {len(pdf)} rows in one group")
-            return fn(pdf)
-        return frames.groupBy(*by).applyInPandas(guarded, schema)
-    register_observable(name, run)
-
-
 def observe(name: str, frames: DataFrame) -> DataFrame:
     """Apply a registered observable to frame rows (selection, frame, id, p ..)."""
     return _observables[name](frames)
@@ -40,6 +22,3 @@ def observe(name: str, frames: DataFrame) -> DataFrame:
 def selected(frames: DataFrame, selections: DataFrame) -> DataFrame:
     """Frame rows of each selection (selection, id)."""
     return frames.join(selections.select("selection", "id"), "id")
-
-
-__all__ = ["register_observable", "register_pandas_observable", "observe", "selected", "F"]

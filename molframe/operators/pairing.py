@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from molframe.functions.geometry import dist, dot
+from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
 from molframe.plans.spatial import cell_join
 from molframe.session import settle
@@ -96,10 +97,10 @@ def long_strands(sites: DataFrame, least: int = 1000) -> DataFrame:
 
 def drop_intra_strand(mono: DataFrame) -> DataFrame:
     """Pairs inside one strand are dropped, except in RNA. ``mono``: id, strand, class, bp."""
-    mates = mono.select(F.col("id").alias("bp"), F.col("strand").alias("_s"))
+    mates = mono.select(F.col("id").alias("_key"), F.col("strand").alias("_s"))
     inside = (F.col("_s") == F.col("strand")) & (F.col("class") != "RNA")
-    return (mono.join(mates, "bp", "left")
-            .withColumn("bp", F.when(~F.coalesce(inside, F.lit(False)), F.col("bp"))).drop("_s"))
+    return (mono.withColumn("_key", spread_nulls("bp", "id")).join(mates, "_key", "left")
+            .withColumn("bp", F.when(~F.coalesce(inside, F.lit(False)), F.col("bp"))).drop("_s", "_key"))
 
 
 def connected_strands(mono: DataFrame, selection: DataFrame) -> DataFrame:

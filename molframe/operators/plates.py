@@ -23,13 +23,14 @@ def report(strands: DataFrame, plates: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def report_grid(counts: DataFrame) -> DataFrame:
-    """The report as 8 x 12 grids: plate, row, c1 .. c12."""
-    row, col = F.substring("well", 1, 1), F.substring("well", 2, 2).cast("int")
-    return (counts.select("plate", row.alias("row"), col.alias("col"), "n")
-            .groupBy("plate", "row").pivot("col", list(range(1, 13))).agg(F.sum("n"))
-            .select("plate", "row", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"c{i}")
-                                      for i in range(1, 13)]))
+def full_report(strands: DataFrame, plates: DataFrame) -> DataFrame:
+    """The report (plate, well, n) and a row (strand, n = 1) for each strand that is in no plate."""
+    lost = orphans(strands, plates, (1 << 31) - 1).select("strand")
+    empty = F.lit(None).cast("string")
+    return report(strands, plates).select(
+        "plate", "well", F.lit(None).cast("bigint").alias("strand"), "n").unionByName(lost.select(
+            empty.alias("plate"), empty.alias("well"), F.col("strand").cast("bigint").alias("strand"),
+            F.lit(1).cast("bigint").alias("n")))
 
 
 def import_plates(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from molframe.session import settle
+from molframe.session import discard, settle
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         now = _fingerprint(e)
         if now == mark:
             break
@@ -33,6 +34,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                                    "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def spread_nulls(key: str, by: str) -> Column:
+    """``key`` (non-negative) with a negative value by the row's own ``by`` in place of null.
+
+    A left join on it finds the same rows, and rows without a key do not meet in one task.
+    """
+    return F.coalesce(F.col(key), -1 - F.pmod(F.xxhash64(by), F.lit(1 << 40)))
+
+
 def _fingerprint(e: DataFrame):
     return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -103,9 +112,10 @@ def rank(links: DataFrame) -> DataFrame:
     smallest id.
     """
     def double(up):
-        far = up.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("head").alias("_h"),
+        far = up.select(F.col("id").alias("_key"), F.col("to").alias("_to"), F.col("head").alias("_h"),
                         F.col("d").alias("_d"), F.col("low").alias("_low"))
-        return settle(up.join(far, "to", "left").select(
+        # finished rows have no next one: each gets a key of its own that matches nothing
+        return settle(up.withColumn("_key", spread_nulls("to", "id")).join(far, "_key", "left").select(
             "id", F.col("_to").alias("to"), F.coalesce("_h", "head").alias("head"),
             (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"),
             F.least("low", "_low").alias("low")))
@@ -123,7 +133,8 @@ def rank(links: DataFrame) -> DataFrame:
     up = start(links)
     mark = open_count(up)
     while mark[0]:
-        up = double(up)
+        old, up = up, double(up)
+        discard(old)
         now = open_count(up)
         # linear strands shrink each round; circles are done when their minima stand still
         if now == mark:
@@ -138,7 +149,8 @@ def rank(links: DataFrame) -> DataFrame:
                                            .alias("n5"))
     up = start(cut)
     while up.agg(F.count("to")).first()[0]:
-        up = double(up)
+        old, up = up, double(up)
+        discard(old)
     return done.unionByName(up.select("id", "head", F.col("d").alias("pos"),
                                       F.lit(True).alias("circular")))
 

@@ -66,11 +66,13 @@ def _(spark, sf):
 
 
 def patchy(spark, sf):
-    """One line of species per brand."""
+    """One line of species per brand and thousand of keys."""
     part = A.read(spark, sf, "part")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))),
                                     lambda x: (x["p_size"] % 5).cast("string")), " ")
-    d = part.groupBy(C("p_brand").alias("file"), F.floor(C("p_partkey") / 100000)).agg(
+    # a file holds the keys of one thousand, so its line stays short at any size
+    file = F.concat_ws("-", "p_brand", F.floor(C("p_partkey") / 1000).cast("string"))
+    d = part.groupBy(file.alias("file")).agg(
         text.alias("line"), F.count(F.lit(1)).alias("n"))
     return d.select("file", F.posexplode(F.array(F.concat(C("n"), F.lit(" 5")), C("line"))).alias(
         "line_no", "line"))
@@ -78,7 +80,7 @@ def patchy(spark, sf):
 
 @query("src_topology_detect", """SELECT structure AS file, 'old' AS dialect FROM strands
     GROUP BY 1 UNION ALL SELECT 'new-' || structure, 'new' FROM strands GROUP BY 1 UNION ALL
-    SELECT p_brand, 'patchy' FROM part GROUP BY 1""")
+    SELECT DISTINCT p_brand || '-' || (p_partkey // 1000), 'patchy' FROM part""")
 def _(spark, sf):
     e = A.exported(spark, sf)
     new = X.topology_new(e).withColumn("file", F.concat(F.lit("new-"), "file"))
@@ -87,9 +89,10 @@ def _(spark, sf):
     return T.detect(spark, written(everything))
 
 
-@query("src_patchy_topology", """SELECT p_brand AS file, 'plain' AS variant, row_number() OVER (
-    PARTITION BY p_brand ORDER BY p_partkey) - 1 AS id, p_size % 5 AS species, row_number() OVER (
-    PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey) - 1 AS sid, NULL AS patch_spec FROM part
+@query("src_patchy_topology", """SELECT p_brand || '-' || (p_partkey // 1000) AS file, 'plain' AS variant, row_number() OVER (
+    PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1 AS id, p_size % 5 AS species,
+    row_number() OVER (PARTITION BY p_brand, p_partkey // 1000, p_size % 5 ORDER BY p_partkey) - 1
+    AS sid, NULL AS patch_spec FROM part
     UNION ALL SELECT p_type, 'loro', row_number() OVER (PARTITION BY p_type ORDER BY p_partkey, k) - 1,
     dense_rank() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1, k - 1, 'spec' || p_partkey
     FROM part, range(1, 6) t(k) WHERE k <= p_size % 5""")
@@ -253,7 +256,7 @@ def _(spark, sf):
         '","position":[1,0,0],"orientation":[0,0,0],"virtualHelices":[')).alias("line"))
     finish = c.select("file").distinct().select("file", *key(99, 0, 0, 0),
                                                 F.lit("]}]}").alias("line"))
-    doc = lines(body, f, [h, F.lit(1), k, C("strand") * 1000000 + C("part")], F.concat(comma, cell),
+    doc = lines(body, f, [h, F.lit(1), k, C("strand") * 1000000000 + C("part")], F.concat(comma, cell),
                 [opening, closing, start, finish])
     d = J.read_lattice(spark, written(doc, ".unf"))
     return d.select("file", "id", *flat(C("p"), "", 3), r(C("a1.x"), 3).alias("a1_x"),
@@ -438,7 +441,7 @@ def _(spark, sf):
 @query("src_id_list", "SELECT structure AS file, id FROM mono")
 def _(spark, sf):
     m = A.monomers(spark, sf)
-    members = m.select("structure", (C("strand") * 100 + F.floor(C("pos") / 10)).alias("grp"), "id")
+    members = m.select("structure", (C("strand") * 1000000000 + F.floor(C("pos") / 10)).alias("grp"), "id")
     path = written(X.index_groups(members).select("file", "line_no", "line"))
     return U.read_ids(spark, path)
 

@@ -171,11 +171,11 @@ def _(spark, sf):
 
 
 @query("snk_index_groups", """SELECT structure AS file, row_number() OVER (PARTITION BY structure
-    ORDER BY strand * 100 + pos // 10) - 1 AS line_no, strand * 100 + pos // 10 AS grp,
+    ORDER BY strand * 1000000000 + pos // 10) - 1 AS line_no, strand * 1000000000 + pos // 10 AS grp,
     string_agg(id, ' ' ORDER BY id) AS line FROM mono GROUP BY structure, strand, pos // 10""")
 def _(spark, sf):
     m = A.monomers(spark, sf)
-    members = m.select("structure", (C("strand") * 100 + F.floor(C("pos") / 10)).alias("grp"), "id")
+    members = m.select("structure", (C("strand") * 1000000000 + F.floor(C("pos") / 10)).alias("grp"), "id")
     return X.index_groups(members).select("file", "line_no", "grp", "line")
 
 

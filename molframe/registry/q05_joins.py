@@ -237,7 +237,7 @@ def _(spark, sf):
     UNION ALL SELECT b, a FROM p""")
 def _(spark, sf):
     m = A.monomers(spark, sf).filter((C("cluster") == 5) & C("color").isNotNull())
-    sel = m.select((C("color") * 1000000000000 + C("id")).alias("ord"), "id")
+    sel = m.select((C("color").cast("bigint") * 10 ** 15 + C("id")).alias("ord"), "id")
     return P.selection_traps(sel)[0].select("particle", "ref_particle")
 
 

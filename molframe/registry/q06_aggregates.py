@@ -45,11 +45,11 @@ def _(spark, sf):
 
 
 @query("agg_sequence_counts", """SELECT sequence, count(*) AS n, min(strand) AS strand FROM (
-    SELECT strand * 1000 + pos // 4 AS strand, string_agg(base, '' ORDER BY pos) AS sequence
+    SELECT strand * 1000000000 + pos // 4 AS strand, string_agg(base, '' ORDER BY pos) AS sequence
     FROM mono GROUP BY strand, pos // 4) GROUP BY sequence""")
 def _(spark, sf):
     # words of four letters as strands, so that sequences repeat
-    m = A.monomers(spark, sf).withColumn("strand", C("strand") * 1000 + F.floor(C("pos") / 4))
+    m = A.monomers(spark, sf).withColumn("strand", C("strand") * 1000000000 + F.floor(C("pos") / 4))
     return S.sequence_counts(m).select("sequence", "n", "strand")
 
 
@@ -240,13 +240,12 @@ def _(spark, sf):
     return P.orphans(oligos(spark, sf), A.plates(spark, sf), 12).select("strand", "sequence")
 
 
-@query("agg_plate_report", f"""WITH n AS (SELECT h.plate, h.well, count(*) AS n FROM ({OLIGOS}) o
-    JOIN (SELECT sequence, min({{'plate': plate, 'well': well}}) AS h FROM plates GROUP BY 1) f
-    ON f.sequence = o.sequence GROUP BY ALL) SELECT plate, well[1] AS row, {", ".join(
-    f"CAST(coalesce(sum(n) FILTER (well[2:] = '{i}'), 0) AS BIGINT) AS c{i}" for i in range(1, 13))}
-    FROM n GROUP BY ALL""")
+@query("agg_plate_report", f"""SELECT h.plate, h.well, CAST(NULL AS BIGINT) AS strand, count(*) AS n
+    FROM ({OLIGOS}) o JOIN (SELECT sequence, min({{'plate': plate, 'well': well}}) AS h FROM plates
+    GROUP BY 1) f ON f.sequence = o.sequence GROUP BY ALL UNION ALL SELECT NULL, NULL, strand, 1
+    FROM ({OLIGOS}) o WHERE sequence NOT IN (SELECT sequence FROM plates)""")
 def _(spark, sf):
-    return P.report_grid(P.report(oligos(spark, sf), A.plates(spark, sf)))
+    return P.full_report(oligos(spark, sf), A.plates(spark, sf))
 
 
 @query("src_plate_db", """WITH h AS (SELECT * FROM plates WHERE CAST(substr(plate, 7) AS INT) % 2 = 0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from molframe import adapters as A
@@ -75,31 +74,26 @@ def _(spark, sf):
     return d.select("time", "a", "b", r(C("d")).alias("d"))
 
 
-@query("stm_track", f"""WITH c AS (SELECT time AS frame, avg(x) AS x, avg(y) AS y, avg(z) AS z
-    FROM ({ROWS}) WHERE id % 3 = 0 GROUP BY time) SELECT frame, {r4('x')} AS x, {r4('''sqrt((x - lag(x)
-    OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w)
-    * (z - lag(z) OVER w))''')} AS step FROM c WINDOW w AS (ORDER BY frame)""")
+@query("stm_track", f"""WITH c AS (SELECT id % 3 AS selection, time AS frame, avg(x) AS x, avg(y) AS y,
+    avg(z) AS z FROM ({ROWS}) GROUP BY ALL) SELECT CAST(selection AS VARCHAR) AS selection, frame,
+    {r4('x')} AS x, {r4('''sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w)
+    * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w))''')} AS step FROM c
+    WINDOW w AS (PARTITION BY selection ORDER BY frame)""")
 def _(spark, sf):
-    path = centres(spark, sf)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name)
-    spark.conf.set(name, S.ROCKSDB)
-    try:
-        stream = spark.readStream.schema(CENTRE).parquet(path).select(
-            "selection", C("time").alias("frame"), "x", "y", "z")
-        out = new_folder(spark, "track")
-        finish(S.run_to_files(S.track(stream), out, new_folder(spark, "check")))
-    finally:
-        spark.conf.set(name, old)
-    d = spark.read.schema(S.STEP).parquet(out)
-    step = F.when(~F.isnan("step"), C("step"))
-    return d.select("frame", r(C("x")).alias("x"), r(step).alias("step"))
-
-
-def span(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Size and extent of one selection in one frame."""
-    return pd.DataFrame({"selection": [pdf["selection"].iloc[0]], "frame": [pdf["frame"].iloc[0]],
-                         "n": [len(pdf)], "span": [pdf["x"].max() - pdf["x"].min()]})
+    ids = A.coords(spark, sf).select(C("particle").alias("id")).distinct()
+    out = new_folder(spark, "centres")
+    finish(S.observe(S.read_frames(spark, landing(spark, sf)), S.centres_of(ids.select(
+        (C("id") % 3).cast("string").alias("selection"), "id")), out, new_folder(spark, "check")))
+    stored = spark.read.schema(CENTRE).parquet(out)
+    # a replayed file gives its frames again
+    d = S.track(stored.unionByName(stored.filter("time % 7 = 0")))
+    return d.select("selection", "frame", r(C("x")).alias("x"), r(C("step")).alias("step"))
+
+
+def span(frames):
+    """Size and extent of each selection in each frame."""
+    return frames.groupBy("selection", "frame").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("span"))
 
 
 @query("udf_observable", f"""SELECT CAST(particle % 3 AS VARCHAR) AS selection, frame, count(*) AS n,
@@ -107,6 +101,6 @@ def span(pdf: pd.DataFrame) -> pd.DataFrame:
 def _(spark, sf):
     c = A.coords(spark, sf).select(C("particle").alias("id"), "frame", "p.x")
     sel = c.select("id").distinct().select((C("id") % 3).cast("string").alias("selection"), "id")
-    O.register_pandas_observable("span", span, "selection string, frame bigint, n bigint, span double")
+    O.register_observable("span", span)
     d = O.observe("span", O.selected(c, sel))
     return d.select("selection", "frame", "n", r(C("span")).alias("span"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ _memo: dict[tuple[str, str], DataFrame] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where neither that setting nor a
-    checkpoint folder exists (local tests) a temporary one is made.
+    A cluster names it in ``spark.checkpoint.dir``. Where neither that setting nor a checkpoint
+    folder exists, a temporary one is made for a local master, and anything else is an error:
+    executors do not see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = named or tempfile.mkdtemp(prefix="molframe-")
         spark.sparkContext.setCheckpointDir(named)
     return named or current
@@ -36,7 +40,19 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more, such as the superseded rounds of a loop."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path is not None:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     d = rows.withColumn("f", fields(F.col("line"))).select(
         "file", "line_no", "line", whole(at(0)).alias("p"), whole(at(1)).alias("q"),
         number(at(2)).alias("eq_dist"), at(3).alias("type"), number(at(4)).alias("k"),
-        F.slice(f, 6, 1000000).alias("extra"))
+        F.slice(f, F.lit(6), F.size(f)).alias("extra"))
     ok = (F.col("p").isNotNull() & F.col("q").isNotNull() & F.col("eq_dist").isNotNull()
           & F.col("k").isNotNull())
     return d.filter(ok).drop("line"), d.filter(~ok).select("file", "line_no", "line")

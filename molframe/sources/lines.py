@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 0), line, for a directory of text files.
 
-    ``file`` is the ``file=<name>`` folder if there is one, else the file name. Line numbers come
-    from the order inside each input split plus the line counts of the splits before it: one
-    small aggregate, no sort of the lines.
+    ``file`` is the ``file=<name>`` folder if there is one, else the path below the folder that
+    ``path`` names (up to its first wildcard). Parts of a file are taken by the number in their
+    name. Line numbers come from the order inside each input split plus the line counts of the
+    splits before it: one small aggregate, no sort of the lines.
     """
     raw = spark.read.text(path)
     if "file" in raw.columns:
         name = F.col("file").cast("string")
     else:
-        name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+        name = below("_metadata.file_path", path)
     raw = raw.select(name.alias("file"), F.col("_metadata.file_path").alias("_path"),
                      F.col("_metadata.file_block_start").alias("_start"),
                      F.col("value").alias("line"),
                      F.monotonically_increasing_id().alias("_mid"))
     key = ["file", "_path", "_start"]
     splits = raw.groupBy(*key).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("file").orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)
+    part = F.regexp_extract(F.element_at(F.split("_path", "/"), -1), r"^part-(\d+)", 1).try_cast("bigint")
+    before = W.partitionBy("file").orderBy(part, "_path", "_start").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select(*key, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0))
                            .alias("_off"))
     return raw.join(splits, key).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "line")
 
 
+def below(file_path: str, path: str) -> Column:
+    """The file's path below the folder part of ``path``; its name if ``path`` is the file."""
+    fixed = re.split(r"[*?\[{]", path)[0]
+    folder = fixed if fixed == path else fixed.rpartition("/")[0]
+    folder = re.sub(r"^\w+:/+|^/+", "", folder).rstrip("/")
+    at = F.instr(file_path, f"{folder}/")
+    rest = F.substring(file_path, at + len(folder) + 1, F.length(file_path))
+    return F.when((at > 0) & (rest != ""), rest).otherwise(F.element_at(F.split(file_path, "/"), -1))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """file, text: whole documents, for formats (JSON) that cannot be split."""
     lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))

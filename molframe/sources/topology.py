@@ -33,7 +33,7 @@ def read_old(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("f", fields(F.col("line"))).join(rna, "file").select(
         "file", (F.col("line_no") - 1).alias("id"), strand.alias("strand"), base.alias("base"),
         link(2).alias("n3"), link(3).alias("n5"),
-        F.transform(F.slice(f, 5, 1000000), whole).alias("connections"),
+        F.transform(F.slice(f, F.lit(5), F.size(f)), whole).alias("connections"),
         F.when(strand < 0, F.when(F.contains(base, F.lit("gs")), "sphere").otherwise("peptide"))
         .when(F.col("_rna"), "RNA").otherwise("DNA").alias("class"),
         F.when(~ok, F.col("line")).alias("_corrupt"))

@@ -6,20 +6,16 @@ rules as trajectory files; there is no socket and no event time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from molframe.functions.geometry import mean, vec
 from molframe.operators.pairing import frame_distances
+from molframe.plans.ordered import dense_index, neighbours
 from molframe.sources.lines import fields, number, whole
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STEP = "selection string, frame bigint, x double, y double, z double, step double"
-
 
 def read_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of frames: file, time, body (lines after the header)."""
@@ -29,7 +25,7 @@ def read_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     return raw.filter(F.trim("value") != "").select(
         name.alias("file"), whole(F.trim(F.get(lines, F.lit(0)))).alias("time"),
-        F.filter(F.slice(lines, 4, 1 << 30), lambda l: F.trim(l) != "").alias("body"))
+        F.filter(F.slice(lines, F.lit(4), F.size(lines)), lambda l: F.trim(l) != "").alias("body"))
 
 
 def coords(frames: DataFrame) -> DataFrame:
@@ -68,41 +64,27 @@ def distances_of(pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda c: frame_distances(c, pairs, ["file", "time"])
 
 
-class Track(StatefulProcessor):
-    """Last point and ordinal per selection; emits the step to each newer frame."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame bigint, x double, y double, z double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).drop_duplicates("frame").sort_values("frame")
-        if self.last.exists():
-            frame, *point = self.last.get()
-            new = new[new["frame"] > frame]  # replayed frames are dropped
-        else:
-            point = None
-        if new.empty:
-            return
-        p = new[["x", "y", "z"]].astype(float)
-        before = p.shift(1)
-        if point is not None:
-            before.iloc[0] = point
-        new = new.assign(selection=key[0], step=((p - before) ** 2).sum(axis=1, skipna=False) ** 0.5)
-        last = new.iloc[-1]
-        self.last.update((int(last["frame"]), float(last["x"]), float(last["y"]), float(last["z"])))
-        yield new[["selection", "frame", "x", "y", "z", "step"]]
-
-    def close(self) -> None:
-        pass
+def centres_of(selections: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Centre of each of many selections (selection, id) per frame."""
+    def run(c: DataFrame) -> DataFrame:
+        return (c.join(selections.select("selection", "id"), "id").groupBy("selection", "file", "time")
+                .agg(mean(F.col("p")).alias("p"))
+                .select("selection", "file", "time", "p.x", "p.y", "p.z"))
+    return run
 
 
 def track(centres: DataFrame) -> DataFrame:
-    """Track of a stream of centres (selection, frame, x, y, z): one step per new frame.
+    """Steps along the stored centres (selection, time, x, y, z): selection, frame, x, y, z, step.
 
-    State is one point per selection. Needs the RocksDB state store.
+    Frames may have come in any order and more than once; a repeated (selection, frame) counts once.
+    Neighbours are found on chunks of the dense position, so one selection may hold all rows.
     """
-    return centres.groupBy("selection").transformWithStateInPandas(
-        Track(), outputStructType=STEP, outputMode="Append", timeMode="None")
+    own = centres.select("selection", F.col("time").alias("frame"), "x", "y", "z").dropDuplicates(
+        ["selection", "frame"])
+    d = dense_index(own, ["selection"], ["frame"], "_g", "_pos")
+    d = neighbours(d, ["selection"], "_pos", {"_last": (F.struct("x", "y", "z"), -1)})
+    apart = sum((F.col(c) - F.col(f"_last.{c}")) * (F.col(c) - F.col(f"_last.{c}")) for c in "xyz")
+    return d.select("selection", "frame", "x", "y", "z", F.sqrt(apart).alias("step"))
 
 
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
