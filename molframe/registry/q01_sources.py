@@ -155,16 +155,20 @@ def frame_lines(spark, sf):
     FROM coords GROUP BY 1), k AS (SELECT particle % 4 AS f, frame, count(*) AS m FROM coords
     GROUP BY 1, 2) SELECT 'r' || s.f AS file, c.frame, c.frame * 1000 AS time,
     row_number() OVER (PARTITION BY s.f, c.frame ORDER BY particle) - 1 AS id,
-    {r4("round(x * 100)")} AS x, y, 1.0::DOUBLE AS a1_x, 1.0::DOUBLE AS a3_z FROM coords c JOIN s
-    ON s.f = particle % 4 JOIN k ON k.f = s.f AND k.frame = c.frame WHERE k.m = s.n""")
+    {r4("round(x * 100)")} AS x, y, 1.0::DOUBLE AS a1_x, 1.0::DOUBLE AS a3_z, false AS rejected
+    FROM coords c JOIN s ON s.f = particle % 4 JOIN k ON k.f = s.f AND k.frame = c.frame WHERE k.m = s.n
+    UNION ALL SELECT 'r' || s.f, frame, frame * 1000, NULL, NULL, NULL, NULL, NULL, true
+    FROM k JOIN s ON s.f = k.f WHERE k.m < s.n""")
 def _(spark, sf):
     sizes = (A.coords(spark, sf).select(F.concat(F.lit("r"), C("particle") % 4).alias("file"),
                                         "particle").distinct()
              .groupBy("file").agg(F.count(F.lit(1)).alias("n_monomers")))
-    c, f, _rejected = Y.read_trajectory(spark, written(frame_lines(spark, sf), ".dat"), sizes)
-    return c.join(f.select("file", "frame", "time"), ["file", "frame"]).select(
+    c, f, rejected = Y.read_trajectory(spark, written(frame_lines(spark, sf), ".dat"), sizes)
+    good = c.join(f.select("file", "frame", "time"), ["file", "frame"]).select(
         "file", "frame", "time", "id", C("p.x").alias("x"), C("p.y").alias("y"),
-        C("a1.x").alias("a1_x"), C("a3.z").alias("a3_z"))
+        C("a1.x").alias("a1_x"), C("a3.z").alias("a3_z"), F.lit(False).alias("rejected"))
+    return good.unionByName(rejected.select("file", "frame", "time", F.lit(True).alias("rejected")),
+                            allowMissingColumns=True)
 
 
 @query("src_frame_catalogue", """WITH t AS (SELECT particle % 4 AS f, frame, length('t = ' || frame * 1000) AS head,

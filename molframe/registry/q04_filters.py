@@ -127,10 +127,10 @@ def _(spark, sf):
 
 
 @query("flt_named_selection", """SELECT row_number() OVER (ORDER BY id) - 1 AS ord, id FROM mono
-    WHERE color = 4 AND cluster = 4""")
+    WHERE color = 4""")
 def _(spark, sf):
     # selections named by colour, kept in id order
-    m = A.monomers(spark, sf).filter(C("cluster") == 4)
+    m = A.monomers(spark, sf)
     named = A.dense_index(m.select(C("id").alias("member"), F.concat(F.lit("colour "), "color")
                                    .alias("name")).dropna(), ["name"], ["member"], pos_col="ord")
     return S.named_selection(named.drop("id").withColumnRenamed("member", "id"),

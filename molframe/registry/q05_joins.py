@@ -234,11 +234,15 @@ def _(spark, sf):
 @query("jn_selection_traps", """WITH s AS (SELECT id, row_number() OVER (ORDER BY color, id) - 1 AS k
     FROM mono WHERE cluster = 5 AND color IS NOT NULL), p AS (SELECT a.id AS a, b.id AS b FROM s a
     JOIN s b ON b.k = a.k + 1 WHERE a.k % 2 = 0) SELECT a AS particle, b AS ref_particle FROM p
-    UNION ALL SELECT b, a FROM p""")
+    UNION ALL SELECT b, a FROM p
+    UNION ALL SELECT id, NULL FROM s WHERE k % 2 = 0 AND k = (SELECT max(k) FROM s)""")
 def _(spark, sf):
     m = A.monomers(spark, sf).filter((C("cluster") == 5) & C("color").isNotNull())
     sel = m.select((C("color").cast("bigint") * 10 ** 15 + C("id")).alias("ord"), "id")
-    return P.selection_traps(sel)[0].select("particle", "ref_particle")
+    traps, odd = P.selection_traps(sel)
+    # an odd member has no partner
+    return traps.select("particle", "ref_particle").unionByName(odd.select(
+        C("id").alias("particle"), F.lit(None).cast("bigint").alias("ref_particle")))
 
 
 @query("jn_forces_by_element", """SELECT id AS particle, bp AS ref_particle, 'kept' AS side FROM mono a
