@@ -31,6 +31,8 @@ ROWS, BANDS = 5, 32
 SIMILARITY = 80
 #: Shingles that are hashed at once.
 CHUNK = 200_000
+#: Elements times slots of a set that are held at once.
+BLOCK = 1 << 26
 #: Documents in keys of ``CROWD`` and more carry a sketch of ``64 * LONGS`` single bits of a longer
 #: signature; pairs that it puts ``SLACK`` percent (4.5 standard deviations) too low are not compared.
 CROWD, LONGS, SLACK = 64, 32, 6
@@ -63,7 +65,20 @@ def shingles(text: str, k: int) -> np.ndarray:
 
 
 def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """Signatures, one row per set: slot values are (round, random number) as one integer."""
+    """Signatures, one row per set: slot values are (round, random number) as one integer.
+
+    A very long set is signed in blocks; its signature is their minimum.
+    """
+    block = max(1, BLOCK // slots)
+    if all(len(s) <= block for s in sets):
+        return _signed(sets, slots)
+    parts = [s[i:i + block] for s in sets for i in range(0, max(1, len(s)), block)]
+    first = np.cumsum([0, *(max(1, -(-len(s) // block)) for s in sets)])[:-1]
+    one_by_one = np.concatenate([_signed([p], slots) for p in parts])
+    return np.minimum.reduceat(one_by_one, first, axis=0)
+
+
+def _signed(sets: list[np.ndarray], slots: int) -> np.ndarray:
     sizes = np.array([len(s) for s in sets], np.int64)
     element = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
     doc = np.repeat(np.arange(len(sets)), sizes)
