@@ -12,7 +12,7 @@ more passes, which carry the spans found so far with the documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from molframe.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 #: Word characters (fixed values of the contract) as bytes: digits, a-z and all beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
@@ -66,18 +66,20 @@ def blocks(benchmark: DataFrame, id_col: str, window: int) -> Iterator[Phrases]:
         yield Phrases(items, window)
 
 
-def _shards(rows: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, np.ndarray, list[int]]]:
-    """Groups of documents: first document, tokens with a 0 after each, word counts."""
-    get, first, parts, sizes, total = phrases.vocabulary.get, 0, [], [], 0
-    for i, words in enumerate(rows):
+def _shards(rows: Iterable[list[bytes]], phrases: Phrases) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Groups of documents: tokens with a 0 after each document, and the sizes."""
+    get, parts, sizes, total = phrases.vocabulary.get, [], [], 0
+    for words in rows:
         ids = np.zeros(len(words) + 1, np.int64)
         ids[:-1] = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         parts.append(ids)
         sizes.append(len(ids))
-        total += int(np.count_nonzero(ids))
-        if total >= SHARD_TOKENS or i + 1 == len(rows):
-            yield first, np.concatenate(parts), sizes
-            first, parts, sizes, total = i + 1, [], [], 0
+        total += len(ids)
+        if total >= SHARD_TOKENS:
+            yield np.concatenate(parts), sizes
+            parts, sizes, total = [], [], 0
+    if parts:
+        yield np.concatenate(parts), sizes
 
 
 def occurrences(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +106,13 @@ def occurrences(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarr
     return source[index.locate(rows)], np.repeat(found, count)
 
 
-def find_spans(rows: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
-    """Per document: merged spans (first word, words) and the items with occurring windows."""
+def find_spans(rows: Iterable[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
+    """Per document: merged spans (first word, words) and the items with occurring windows.
+
+    Documents are taken one by one, so that the words of one only are held as objects.
+    """
     out: list[tuple[list[tuple[int, int]], list[str]]] = []
-    for first, ids, sizes in _shards(rows, phrases):
+    for ids, sizes in _shards(rows, phrases):
         start, phrase = occurrences(ids, phrases)
         edge = np.zeros(len(ids) + 1, np.int64)
         np.add.at(edge, start, 1)
@@ -157,15 +162,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                split = [words_of(t) for t in batch.column("text").to_pylist()]
-                spans, items = [], []
-                for (new, own), s, i in zip(find_spans(split, sent.value), batch.column("spans").to_pylist(),
+                n_words, spans, items = [], [], []
+
+                def split(texts=batch.column("text").to_pylist()):
+                    for t in texts:
+                        words = words_of(t)
+                        n_words.append(len(words))
+                        yield words
+
+                for (new, own), s, i in zip(find_spans(split(), sent.value), batch.column("spans").to_pylist(),
                                             batch.column("items").to_pylist()):
                     old = [(x["start"], x["length"]) for x in s]
                     spans.append([{"start": a, "length": n} for a, n in merge_spans(old + new)])
                     items.append(sorted({*i, *own}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(map(len, split), pa.int64()),
+                    [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()),
                      pa.array(spans, shape), pa.array(items, pa.list_(pa.string())), batch.column("row")],
                     ["doc_id", "text", "n_words", "spans", "items", "row"])
 

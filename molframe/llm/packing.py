@@ -29,6 +29,8 @@ UNIT = 8
 END_ID = 1
 #: The plan is at most this share above the optimum of the linear program.
 GAP = 1e-3
+#: Pivots between two inversions of the basis.
+REFRESH = 50
 #: Ranks are counted inside buckets of about this many pieces, of at least ``MIN_BUCKETS``.
 BUCKET_PIECES, MIN_BUCKETS = 50_000, 256
 
@@ -159,7 +161,11 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[Counter,
     need = np.array([demand[s] for s in sizes], float)
     basis = np.diag(capacity // sizes).astype(float)
     inverse, used = np.diag(1.0 / np.diag(basis)), need / np.diag(basis)
-    for _ in range(20 * len(sizes)):
+    for turn in range(20 * len(sizes)):
+        if turn % REFRESH == REFRESH - 1:
+            # rounding errors of the updates would add up
+            inverse = np.linalg.inv(basis)
+            used = np.maximum(inverse @ need, 0)
         worth, column = best_pattern(sizes, inverse.sum(axis=0), capacity)
         # no plan has fewer sequences than the sizes fill, or than the duals say
         if used.sum() <= (1 + GAP) * max(need @ sizes / capacity, used.sum() / max(worth, 1)):
@@ -186,18 +192,20 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[Counter,
             plan.append((pattern, times))
             for s, c in pattern.items():
                 left[s] -= c * times
-    # what rounding down has left is a few sequences for each pattern: first fit, longest first
-    rest, bins = [], []
-    for s in sorted(left, reverse=True):
-        rest += [s] * left[s]
-    for s in rest:
-        i = next((i for i, (room, _) in enumerate(bins) if room >= s), None)
-        if i is None:
-            bins.append((capacity, Counter()))
-            i = len(bins) - 1
-        bins[i] = (bins[i][0] - s, bins[i][1] + Counter([s]))
-    alike = Counter(tuple(sorted(b.items())) for _, b in bins)
-    return plan + [(Counter(dict(b)), n) for b, n in sorted(alike.items())]
+    # what rounding down has left: the longest that fit, as often as the counts allow
+    left = +left
+    while left:
+        room, pattern = capacity, Counter()
+        for s in sorted(left, reverse=True):
+            pattern[s] = min(room // s, left[s])
+            room -= s * pattern[s]
+        pattern = +pattern
+        times = min(left[s] // c for s, c in pattern.items())
+        plan.append((pattern, times))
+        for s, c in pattern.items():
+            left[s] -= c * times
+        left = +left
+    return plan
 
 
 def pack(pieces: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:

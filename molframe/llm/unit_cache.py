@@ -10,7 +10,7 @@ class UnitCache(dict):
     units met again move back. A worker so holds at most twice ``limit`` entries.
     """
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 200_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -31,7 +31,12 @@ _state: dict = {}
 
 
 def once(key, build):
-    """One object per Python worker, built at its first use."""
+    """The object of ``key`` in this Python worker, built at its first use.
+
+    Workers serve one operator after another: only the last object stays, so that the caches of
+    earlier operators do not pile up.
+    """
     if key not in _state:
+        _state.clear()
         _state[key] = build()
     return _state[key]
