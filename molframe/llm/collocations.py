@@ -26,7 +26,9 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: Bits of a filter: 8 MB however large the corpus is.
 FILTER_BITS = 26
 #: Words of which a worker keeps the number; then it starts anew.
-VOCABULARY = 300_000
+VOCABULARY = 200_000
+#: Bytes of text that are counted together, and that are split into words at once.
+TEXT_AT_ONCE, SLICE = 8_000_000, 500_000
 #: Fixed values of the contract: ends of pieces and blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _U = np.uint64
@@ -60,20 +62,53 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def _slices(text: bytes) -> Iterator[bytes]:
+    """Parts of a translated text of about ``SLICE`` bytes that end between words."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
+            if cut < 0:
+                cut = min((x for x in (text.find(b" ", end), text.find(b"\n", end)) if x >= 0), default=len(text) - 1)
+            end = cut + 1
+        yield text[at:end]
+        at = end
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, _Vocabulary, np.ndarray]]:
-    """lang, vocabulary and word numbers (0 between pieces and at the end) of each batch and language."""
-    known: dict[str, _Vocabulary] = {}
+    """lang, vocabulary and word numbers of whole texts of ``TEXT_AT_ONCE`` bytes or more (the rest of a batch
+    may be less), 0 between pieces and at the end."""
+    known: dict[str, tuple[_Vocabulary, list[np.ndarray]]] = {}
+
+    def ready(lang):
+        v, parts = known.pop(lang)
+        if len(v) <= most:
+            known[lang] = v, []
+        return lang, v, np.concatenate([*parts, np.zeros(LONGEST, np.int32)])
+
     for batch in batches:
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             by_lang.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass").translate(_PIECES))
         for lang, found in by_lang.items():
-            v = known.get(lang)
-            if v is None or len(v) > most:
-                v = known[lang] = _Vocabulary(lang)
-            tokens = b"\n".join(found).replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter(map(v.__getitem__, tokens), np.int64, len(tokens))
-            yield lang, v, np.concatenate([ids[ids >= 0], np.zeros(LONGEST, np.int64)])
+            held = 0
+            for text in found:
+                if lang not in known:
+                    known[lang] = _Vocabulary(lang), []
+                v, parts = known[lang]
+                for part in _slices(text):
+                    tokens = part.replace(b"\n", b" \n ").split(b" ")
+                    ids = np.fromiter(map(v.__getitem__, tokens), np.int32, len(tokens))
+                    parts.append(ids[ids >= 0])
+                parts.append(np.zeros(1, np.int32))
+                held += len(text)
+                if held >= TEXT_AT_ONCE:
+                    held = 0
+                    yield ready(lang)
+            by_lang[lang] = []
+            if known.get(lang, (None, []))[1]:
+                yield ready(lang)
 
 
 def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -158,7 +193,7 @@ def lead_windows(docs: DataFrame, filters: list) -> DataFrame:
             length, _ = _lengths(ids, h, own[1:])
             length[(length == 1) & ~_passes(h[ids], own[0])] = 0
             start = np.flatnonzero(length > 0)
-            columns = [np.where(length[start] > k, ids[start + k], 0) for k in range(LONGEST)]
+            columns = [np.where(length[start] > k, ids[start + k], 0).astype(np.int64) for k in range(LONGEST)]
             # equal windows are numbered column by column, exactly
             group = columns[0]
             for c in columns[1:]:
