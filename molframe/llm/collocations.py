@@ -117,8 +117,8 @@ def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _lengths(ids: np.ndarray, h: np.ndarray, filters: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of the window at each place as far as ``filters`` (of words and pairs, then triples) let it go,
-    and the hashes of one word, two words and so on."""
+    """Words of the window at each place as far as ``filters`` (of pairs, then triples) let it go, and the
+    hashes of one word, two words and so on."""
     word = h[ids]
     real = ids > 0
     grams, far = [word], real.copy()
@@ -143,7 +143,7 @@ def _lengths(ids: np.ndarray, h: np.ndarray, filters: list[np.ndarray]) -> tuple
 
 
 def _gram_counts(docs: DataFrame, shared: list, at_least: int) -> DataFrame:
-    """h: hashes of frequent words and pairs (no filter yet) or of frequent triples (one filter)."""
+    """h: hashes of frequent pairs (no filter yet) or of frequent triples (one filter)."""
     size, most = len(shared) + 2, VOCABULARY
 
     def count(batches):
@@ -153,11 +153,7 @@ def _gram_counts(docs: DataFrame, shared: list, at_least: int) -> DataFrame:
             if not filters:
                 every = ids > 0
                 pair = _mixed(h[ids[:-1]], h[ids[1:]])[every[:-1] & every[1:]]
-                seen = np.bincount(ids, minlength=len(h))
-                seen[0] = 0
-                words = np.flatnonzero(seen)
-                rest, n = np.unique(pair, return_counts=True)
-                hashes, n = np.concatenate([h[words], rest]), np.concatenate([seen[words], n])
+                hashes, n = np.unique(pair, return_counts=True)
             else:
                 length, grams = _lengths(ids, h, filters)
                 both = length >= size - 1
@@ -182,29 +178,26 @@ def _filter(hashes: DataFrame):
 
 
 def lead_windows(docs: DataFrame, filters: list) -> DataFrame:
-    """lang, w1 to w5, c: padded windows and how often they start; words that are too rare to start one are
-    counted in a window without words, so that all ``c`` of a language sum to its words."""
+    """lang, w1 to w5, c: padded windows and how often they start. Every word starts one."""
     most = VOCABULARY
 
     def read(batches):
         own = [s.value for s in filters]
         for lang, v, ids in _pieces(batches, most):
             h = v.hashes()
-            length, _ = _lengths(ids, h, own[1:])
-            length[(length == 1) & ~_passes(h[ids], own[0])] = 0
+            length, _ = _lengths(ids, h, own)
             start = np.flatnonzero(length > 0)
             columns = [np.where(length[start] > k, ids[start + k], 0).astype(np.int64) for k in range(LONGEST)]
+            if not len(start):
+                continue
             # equal windows are numbered column by column, exactly
             group = columns[0]
             for c in columns[1:]:
                 _, first, group = np.unique(group * len(h) + c, return_index=True, return_inverse=True)
-            n = np.bincount(group) if len(start) else np.zeros(0, np.int64)
-            names = pa.array([None, *v.words[1:]], pa.binary())
-            first = first if len(start) else start
+            names, n = pa.array([None, *v.words[1:]], pa.binary()), np.bincount(group)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(n) + 1)), *[pa.concat_arrays([names.take(pa.array(c[first])), pa.nulls(1, pa.binary())])
-                                                    .cast(pa.string()) for c in columns],
-                 pa.array(np.append(n, np.count_nonzero(ids) - len(start)))], ["lang", *_WORDS, "c"])
+                [pa.array([lang] * len(n)), *[names.take(pa.array(c[first])).cast(pa.string()) for c in columns],
+                 pa.array(n)], ["lang", *_WORDS, "c"])
 
     return docs.mapInArrow(read, f"lang string, {', '.join(f'{w} string' for w in _WORDS)}, c long")
 
@@ -215,9 +208,9 @@ def phrase_counts(docs: DataFrame, at_least: int = AT_LEAST) -> tuple[DataFrame,
     ``docs``: lang, text. A null lang is ``und``, a null text is empty.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = _filter(_gram_counts(rows, [], at_least))
-    triples = _filter(_gram_counts(rows, [words], at_least))
-    longest = lead_windows(rows, [words, words, triples]).groupBy("lang", *_WORDS).agg(F.sum("c").alias("c"))
+    pairs = _filter(_gram_counts(rows, [], at_least))
+    triples = _filter(_gram_counts(rows, [pairs], at_least))
+    longest = lead_windows(rows, [pairs, triples]).groupBy("lang", *_WORDS).agg(F.sum("c").alias("c"))
     level = F.lit(LONGEST) - F.bit_count(F.grouping_id()).cast("int")
     sums = longest.rollup("lang", *_WORDS).agg(level.alias("k"), F.sum("c").alias("f"))
     # k is -1 for all languages together, 0 for all words of one; a prefix that ends in padding is no phrase
