@@ -26,9 +26,9 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: Bits of a filter: 8 MB however large the corpus is.
 FILTER_BITS = 26
 #: Words of which a worker keeps the number; then it starts anew.
-VOCABULARY = 200_000
+VOCABULARY = 100_000
 #: Bytes of text that are counted together, and that are split into words at once.
-TEXT_AT_ONCE, SLICE = 8_000_000, 500_000
+TEXT_AT_ONCE, SLICE = 3_000_000, 500_000
 #: Fixed values of the contract: ends of pieces and blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _U = np.uint64
