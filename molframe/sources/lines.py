@@ -15,7 +15,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     name. Line numbers come from the order inside each input split plus the line counts of the
     splits before it: one small aggregate, no sort of the lines.
     """
-    raw = spark.read.text(path)
+    return numbered_lines(spark, path).drop("first_of_part")
+
+
+def numbered_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``read_lines`` with lines that end at ``separator``, and first_of_part for the first line of each
+    stored part of a file."""
+    raw = spark.read.text(path, lineSep=separator)
     if "file" in raw.columns:
         name = F.col("file").cast("string")
     else:
@@ -31,7 +37,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.select(*key, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0))
                            .alias("_off"))
     return raw.join(splits, key).select(
-        "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "line")
+        "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "line",
+        ((F.col("_start") == 0) & (F.col("_mid") == F.col("_first"))).alias("first_of_part"))
 
 
 def below(file_path: str, path: str) -> Column:
@@ -44,13 +51,6 @@ def below(file_path: str, path: str) -> Column:
     return F.when((at > 0) & (rest != ""), rest).otherwise(F.element_at(F.split(file_path, "/"), -1))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """file, text: whole documents, for formats (JSON) that cannot be split."""
-    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return read_lines(spark, path).groupBy("file").agg(lines.alias("_l")).select(
-        "file", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
-
-
 def fields(line: Column) -> Column:
     """Whitespace-separated fields."""
     return F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
