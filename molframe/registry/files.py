@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from molframe.session import new_folder
 from molframe.sinks.lines import write_lines
+from molframe.sinks.long_lines import write_parts
 
 
 def written(lines: DataFrame, suffix: str = ".txt") -> str:
@@ -13,3 +14,10 @@ def written(lines: DataFrame, suffix: str = ".txt") -> str:
     path = new_folder(lines.sparkSession, "files")
     write_lines(lines, path, suffix)
     return path
+
+
+def written_parts(parts: DataFrame) -> str:
+    """Write lines that come in parts and return the folder."""
+    path = new_folder(parts.sparkSession, "files")
+    write_parts(parts, path)
+    return path

@@ -8,9 +8,10 @@ from molframe import adapters as A
 from molframe.functions.geometry import flat, r, vec
 from molframe.plans.ordered import dense_index
 from molframe.registry.core import query, r4
-from molframe.registry.files import written
-from molframe.registry.q02_sinks import FLUX, bonds, flux_series, keyword_data, trap_table
+from molframe.registry.files import written, written_parts
+from molframe.registry.q02_sinks import FLUX, WIDTH, bonds, flux_series, keyword_data, trap_json
 from molframe.sinks import structures as X
+from molframe.sinks.long_lines import as_parts
 from molframe.sources import auxiliary as U, json_files as J, pdb as B, topology as T, trajectory as Y
 from molframe.sources.lines import read_lines
 
@@ -59,10 +60,10 @@ def _(spark, sf):
     CASE WHEN e.strand % 2 = 1 THEN 's' || e.strand END AS label
     FROM expo e JOIN snum s ON s.strand = e.strand""")
 def _(spark, sf):
-    path = written(X.topology_new(A.exported(spark, sf), keyword_data(spark, sf)))
-    s = T.read_new(spark, path)
+    path = written_parts(X.topology_new(A.exported(spark, sf), keyword_data(spark, sf), WIDTH))
+    s, letters = T.read_new(spark, path)
     labels = s.select("file", "line_no", F.col("kw")["label"].alias("label"))
-    return T.new_monomers(s).join(labels, ["file", "line_no"])
+    return T.new_monomers(s, letters).join(labels, ["file", "line_no"])
 
 
 def patchy(spark, sf):
@@ -84,9 +85,8 @@ def patchy(spark, sf):
 def _(spark, sf):
     e = A.exported(spark, sf)
     new = X.topology_new(e).withColumn("file", F.concat(F.lit("new-"), "file"))
-    everything = X.topology_old(e).unionByName(new).unionByName(
-        patchy(spark, sf).withColumn("line_no", C("line_no").cast("bigint")))
-    return T.detect(spark, written(everything))
+    everything = as_parts(X.topology_old(e)).unionByName(new).unionByName(as_parts(patchy(spark, sf)))
+    return T.detect(spark, written_parts(everything))
 
 
 @query("src_patchy_topology", """SELECT p_brand || '-' || (p_partkey // 1000) AS file, 'plain' AS variant, row_number() OVER (
@@ -199,10 +199,7 @@ def _(spark, sf):
     WHERE class <> 'sphere'""")
 def _(spark, sf):
     m = A.monomers(spark, sf).filter(C("class") != "sphere")
-    traps = trap_table(spark, sf).select("structure", "ord", F.to_json(F.struct(
-        "type", C("particle").cast("string").alias("particle"), "ref_particle", "stiff", "r0",
-        C("pbc").alias("PBC"))).alias("json"))
-    path = written(X.design_json(m, 100.0, traps), ".json")
+    path = written(X.design_json(m, 100.0, trap_json(spark, sf)), ".json")
     d = J.read_design(spark, path)
     return d.select("file", "system", "strand", "pos", "id", "base", "class", "n3", "n5", "bp",
                     "cluster", "color", r(C("p.x"), 6).alias("x"), C("a1.x").alias("a1_x"),
@@ -445,8 +442,7 @@ def _(spark, sf):
 @query("src_id_list", "SELECT structure AS file, id FROM mono")
 def _(spark, sf):
     m = A.monomers(spark, sf)
-    members = m.select("structure", (C("strand") * 1000000000 + F.floor(C("pos") / 10)).alias("grp"), "id")
-    path = written(X.index_groups(members).select("file", "line_no", "line"))
+    path = written_parts(X.index_groups(m.select("structure", C("strand").alias("grp"), "id"), WIDTH))
     return U.read_ids(spark, path)
 
 

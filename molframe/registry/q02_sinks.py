@@ -42,17 +42,20 @@ def keyword_data(spark, sf):
         F.lit("label"), F.concat(F.lit("s"), "strand"), F.lit("type"), F.lit("DNA")).alias("kw"))
 
 
-TOP_NEW = """SELECT structure AS file, 0 AS line_no, head || ' 5->3' AS line FROM heads UNION ALL
-    SELECT s.structure, s.ord + 1, q.seq || ' id=' || s.new_strand || ' type=' || CASE q.class
-    WHEN 'sphere' THEN 'generic' ELSE q.class END || ' circular=false' ||
-    CASE WHEN s.strand % 2 = 1 THEN ' label=s' || s.strand ELSE '' END
-    FROM snum s JOIN (SELECT strand, max(class) AS class, string_agg(base, '' ORDER BY pos) AS seq
-    FROM expo GROUP BY strand) q ON q.strand = s.strand"""
+#: Letters or ids of a part in the queries, so that long lines have several.
+WIDTH = 64
+
+TOP_NEW = f"""SELECT structure AS file, 0 AS line_no, 0 AS part, head || ' 5->3' AS text, true AS last FROM heads
+    UNION ALL SELECT s.structure, s.ord + 1, q.part, q.seq || CASE WHEN q.last THEN ' id=' || s.new_strand ||
+    ' type=' || CASE q.class WHEN 'sphere' THEN 'generic' ELSE q.class END || ' circular=false' ||
+    CASE WHEN s.strand % 2 = 1 THEN ' label=s' || s.strand ELSE '' END ELSE '' END, q.last
+    FROM snum s JOIN (SELECT strand, pos // {WIDTH} AS part, max(class) AS class, string_agg(base, '' ORDER BY pos)
+    AS seq, max(pos) = max(len) - 1 AS last FROM expo GROUP BY strand, pos // {WIDTH}) q ON q.strand = s.strand"""
 
 
 @query("snk_topology_new", TOP_NEW)
 def _(spark, sf):
-    return X.topology_new(A.exported(spark, sf), keyword_data(spark, sf))
+    return X.topology_new(A.exported(spark, sf), keyword_data(spark, sf), WIDTH)
 
 
 @query("snk_configuration", """WITH n AS (SELECT e.structure, n.new_new, regexp_replace(
@@ -106,19 +109,24 @@ def _(spark, sf):
     return X.masses(A.exported(spark, sf))
 
 
-@query("snk_sequences_csv", """WITH s AS (SELECT structure, strand, string_agg(base, '' ORDER BY pos)
-    AS seq, count(*) AS n, max(color) FILTER (pos = 0) AS c5,
-    max(color) FILTER (pos = len - 1) AS c3 FROM (SELECT * REPLACE
+@query("snk_sequences_csv", f"""WITH e AS (SELECT * REPLACE
     (CASE WHEN pos = 0 AND strand % 3 = 0 THEN NULL WHEN strand % 6 = 0 THEN NULL ELSE color * 70000
-    END AS color) FROM expo) GROUP BY 1, 2)
-    SELECT DISTINCT structure AS file, 0 AS line_no, 'name, seq, len, RGB' AS line FROM s UNION ALL
-    SELECT structure, row_number() OVER (PARTITION BY structure ORDER BY strand), 'strand_' || strand
-    || ',' || seq || ',' || n || ',' || coalesce((coalesce(c5, c3) >> 16) || '/' ||
-    ((coalesce(c5, c3) >> 8) & 255) || '/' || (coalesce(c5, c3) & 255), ' ') FROM s""")
+    END AS color) FROM expo), s AS (SELECT structure, strand, count(*) AS n, max(color) FILTER (pos = 0) AS c5,
+    max(color) FILTER (pos = len - 1) AS c3 FROM e GROUP BY 1, 2),
+    p AS (SELECT strand, pos // {WIDTH} AS part, string_agg(base, '' ORDER BY pos) AS seq,
+    max(pos) = max(len) - 1 AS last FROM e GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY strand) AS line_no FROM s)
+    SELECT DISTINCT structure AS file, 0 AS line_no, 0 AS part, 'name, seq, len, RGB' AS text, true AS last FROM s
+    UNION ALL SELECT structure, line_no, part, CASE WHEN part > 0 THEN '' WHEN r.strand % 4 = 1 THEN 's' || r.strand
+    || ',' ELSE 'strand_' || r.strand || ',' END || seq || CASE WHEN last THEN ',' || n || ',' ||
+    coalesce((coalesce(c5, c3) >> 16) || '/' || ((coalesce(c5, c3) >> 8) & 255) || '/' ||
+    (coalesce(c5, c3) & 255), ' ') ELSE '' END, last FROM r JOIN p ON p.strand = r.strand""")
 def _(spark, sf):
     hidden = ((C("pos") == 0) & (C("strand") % 3 == 0)) | (C("strand") % 6 == 0)
     e = A.exported(spark, sf).withColumn("color", F.when(~hidden, C("color") * 70000))
-    return X.sequences_csv(e)
+    labels = A.strands(spark, sf).filter(C("strand") % 4 == 1).select(
+        "strand", F.concat(F.lit("s"), "strand").alias("label"))
+    return X.sequences_csv(e, labels=labels, part=WIDTH)
 
 
 def trap_table(spark, sf):
@@ -128,22 +136,36 @@ def trap_table(spark, sf):
                     F.lit(0.09).alias("stiff"), F.lit(1.2).alias("r0"), F.lit(1).alias("pbc"))
 
 
-@query("snk_design_json", """SELECT file, sum(n) AS n_monomers, min(first) AS first,
-    bool_and(ok) AS same FROM (SELECT structure AS file, count(*) AS n, min(id) AS first,
-    true AS ok FROM mono WHERE class <> 'sphere' GROUP BY structure) GROUP BY file""")
+@query("snk_design_json", """WITH t AS (SELECT * FROM mono WHERE class <> 'sphere'),
+    s AS (SELECT structure, strand, max(class) AS class, min(id) AS e5, max(id) AS e3,
+    strand < max(strand) OVER (PARTITION BY structure) AS more FROM t GROUP BY structure, strand),
+    f AS (SELECT structure, id, bp, id < max(id) OVER (PARTITION BY structure) AS more FROM mono
+    WHERE bp IS NOT NULL), l(file, k1, k2, k3, line) AS (
+    SELECT DISTINCT structure, -1::BIGINT, 0, 0::BIGINT,
+    '{"box":[100.0,100.0,100.0],"systems":[{"id":0,"strands":[' FROM t UNION ALL
+    SELECT structure, strand, 0, 0, '{"id":' || strand || ',"class":"' || CASE class WHEN 'peptide'
+    THEN 'Peptide' ELSE 'NucleicAcidStrand' END || '","end3":' || e3 || ',"end5":' || e5 || ',"monomers":['
+    FROM s UNION ALL
+    SELECT structure, strand, 1, pos, '{"id":' || id || ',"type":"' || base || '","class":"' || class ||
+    '","p":[' || px || ',' || py || ',' || pz || '],"a1":[' || ax || ',' || ay || ',0.0],"a3":[0.0,0.0,1.0]' ||
+    coalesce(',"n3":' || n3, '') || coalesce(',"n5":' || n5, '') || coalesce(',"bp":' || bp, '') ||
+    coalesce(',"cluster":' || cluster, '') || coalesce(',"color":' || color, '') || '}' ||
+    CASE WHEN pos < len - 1 THEN ',' ELSE '' END FROM t UNION ALL
+    SELECT structure, strand, 2, 0, ']}' || CASE WHEN more THEN ',' ELSE '' END FROM s UNION ALL
+    SELECT DISTINCT structure, 1::BIGINT << 60, 0, 0, ']}],"forces":[' FROM t UNION ALL
+    SELECT structure, 1::BIGINT << 60, 1, id, '{"type":"mutual_trap","particle":"' || id || '","ref_particle":' || bp ||
+    ',"stiff":0.09,"r0":1.2,"PBC":1}' || CASE WHEN more THEN ',' ELSE '' END FROM f UNION ALL
+    SELECT DISTINCT structure, 1::BIGINT << 60, 2, 0, '],"selections":[]}' FROM t)
+    SELECT file, row_number() OVER (PARTITION BY file ORDER BY k1, k2, k3) - 1 AS line_no, line FROM l""")
 def _(spark, sf):
-    # each monomer line is parsed on its own: every monomer must come back as it was
-    from molframe.sources.json_files import MONOMER
     m = A.monomers(spark, sf).filter(C("class") != "sphere")
-    body = X.design_json(m, 100.0).filter(C("line").startswith('{"id":') & F.contains(
-        "line", F.lit('"type":')))
-    back = body.select("file", F.from_json(F.regexp_replace("line", ",$", ""), MONOMER).alias("m"))
-    same = (C("m.type") == C("base")) & (C("m.p")[0] == C("p.x")) & (
-        F.coalesce("m.n3", F.lit(-1)) == F.coalesce("n3", F.lit(-1))) & (
-        F.coalesce("m.bp", F.lit(-1)) == F.coalesce("bp", F.lit(-1)))
-    joined = back.join(m.drop("strand", "structure"), C("m.id") == C("id"))
-    return joined.groupBy("file").agg(F.count(F.lit(1)).alias("n_monomers"),
-                                      F.min("id").alias("first"), F.bool_and(same).alias("same"))
+    return X.design_json(m, 100.0, trap_json(spark, sf))
+
+
+def trap_json(spark, sf):
+    return trap_table(spark, sf).select("structure", "ord", F.to_json(F.struct(
+        "type", C("particle").cast("string").alias("particle"), "ref_particle", "stiff", "r0",
+        C("pbc").alias("PBC"))).alias("json"))
 
 
 @query("snk_unf_json", """SELECT structure AS file, count(*) FILTER (class <> 'peptide') AS n_nt,
@@ -170,13 +192,13 @@ def _(spark, sf):
     return X.forces_text(A.monomers(spark, sf), trap_table(spark, sf))[0]
 
 
-@query("snk_index_groups", """SELECT structure AS file, row_number() OVER (PARTITION BY structure
-    ORDER BY strand * 1000000000 + pos // 10) - 1 AS line_no, strand * 1000000000 + pos // 10 AS grp,
-    string_agg(id, ' ' ORDER BY id) AS line FROM mono GROUP BY structure, strand, pos // 10""")
+@query("snk_index_groups", f"""WITH m AS (SELECT structure, strand, id, row_number() OVER (PARTITION BY strand
+    ORDER BY id) - 1 AS k, dense_rank() OVER (PARTITION BY structure ORDER BY strand) - 1 AS line_no, len FROM mono)
+    SELECT structure AS file, line_no, strand AS grp, k // {WIDTH} AS part, CASE WHEN k // {WIDTH} > 0 THEN ' ' ELSE ''
+    END || string_agg(id, ' ' ORDER BY id) AS text, max(k) = max(len) - 1 AS last FROM m
+    GROUP BY structure, line_no, strand, k // {WIDTH}""")
 def _(spark, sf):
-    m = A.monomers(spark, sf)
-    members = m.select("structure", (C("strand") * 1000000000 + F.floor(C("pos") / 10)).alias("grp"), "id")
-    return X.index_groups(members).select("file", "line_no", "grp", "line")
+    return X.index_groups(A.monomers(spark, sf).select("structure", C("strand").alias("grp"), "id"), WIDTH)
 
 
 FLUX = """SELECT particle % 4 AS f, CAST(row_number() OVER (PARTITION BY particle % 4

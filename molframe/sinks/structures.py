@@ -1,4 +1,5 @@
-"""Export of monomer tables. Every sink gives rows (file, line_no, line) for ``write_lines``.
+"""Export of monomer tables. Sinks give rows (file, line_no, line) for ``write_lines``, or lines in parts
+for ``write_parts`` where a line holds a whole strand or group.
 
 ``mono``: structure, strand, class, pos, id, base, n3, n5, bp, cluster, color, p, a1, a3.
 """
@@ -9,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from molframe.functions.geometry import scale
 from molframe.functions.nucleic import NM, backbone_site, base_site
-from molframe.operators.sequences import sequences
+from molframe.operators.sequences import PART, sequences
 from molframe.plans.ordered import dense_index, running
 from molframe.session import settle
 from molframe.sinks.lines import with_header
+from molframe.sinks.long_lines import as_parts
 
 SCAFFOLD = 1000
 
@@ -113,16 +115,12 @@ def topology_old(mono: DataFrame) -> DataFrame:
     return with_header(_header(mono), rows)
 
 
-def topology_new(mono: DataFrame, kw: DataFrame | None = None) -> DataFrame:
-    """``SEQ id= type= circular= extras`` per strand; ``kw``: structure, strand, kw (map).
-
-    A sequence line is one text value; strands beyond ``PART`` letters are rare enough that
-    their parts are joined here.
-    """
-    parts = sequences(mono).groupBy("strand").agg(F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("part", "sequence"))), lambda x: x["sequence"]), "").alias("seq"))
-    closed = mono.groupBy("strand").agg(F.bool_and(F.col("n3").isNotNull()).alias("circular"))
-    d = strand_numbers(mono).join(parts, "strand").join(closed, "strand")
+def topology_new(mono: DataFrame, kw: DataFrame | None = None, part: int = PART) -> DataFrame:
+    """``SEQ id= type= circular= extras`` per strand in parts of ``part`` letters (file, line_no, part, text,
+    last); ``kw``: structure, strand, kw (map)."""
+    per = mono.groupBy("strand").agg(F.bool_and(F.col("n3").isNotNull()).alias("circular"),
+                                     F.count(F.lit(1)).alias("_letters"))
+    d = strand_numbers(mono).join(per, "strand")
     extra = F.lit(None).cast("string")
     if kw is not None:
         d = d.join(kw, ["structure", "strand"], "left")
@@ -131,10 +129,14 @@ def topology_new(mono: DataFrame, kw: DataFrame | None = None) -> DataFrame:
         extra = F.nullif(F.array_join(F.transform(entries, lambda e: F.concat(
             e["key"], F.lit("="), e["value"])), " "), F.lit(""))
     kind = F.when(F.col("class") == "sphere", "generic").otherwise(F.col("class"))
-    rows = d.select(F.col("structure").alias("file"), F.col("ord").alias("line_no"), F.concat_ws(
-        " ", "seq", F.concat(F.lit("id="), "new_strand"), F.concat(F.lit("type="), kind),
-        F.concat(F.lit("circular="), "circular"), extra).alias("line"))
-    return with_header(_header(mono, "5->3"), rows)
+    tail = F.concat(F.lit(" "), F.concat_ws(" ", F.concat(F.lit("id="), "new_strand"), F.concat(
+        F.lit("type="), kind), F.concat(F.lit("circular="), "circular"), extra))
+    d = d.select("strand", F.col("structure").alias("file"), (F.col("ord") + 1).alias("line_no"), tail.alias("tail"), "_letters")
+    last = F.col("part") == F.floor((F.col("_letters") - 1) / part)
+    rows = sequences(mono, part).join(d, "strand").select(
+        "file", "line_no", "part", F.when(last, F.concat("sequence", "tail")).otherwise(F.col("sequence")).alias("text"),
+        last.alias("last"))
+    return as_parts(_header(mono, "5->3").withColumn("line_no", F.lit(0))).unionByName(rows)
 
 
 def _number(c: Column) -> Column:
@@ -188,25 +190,33 @@ def masses(mono: DataFrame) -> DataFrame:
     return with_header(head, default.unionByName(rows))
 
 
-def sequences_csv(mono: DataFrame, selection: DataFrame | None = None) -> DataFrame:
-    """``name,seq,len,RGB`` per (selected) strand; colour of the 5' end, else of the 3' end."""
+def sequences_csv(mono: DataFrame, selection: DataFrame | None = None, labels: DataFrame | None = None,
+                  part: int = PART) -> DataFrame:
+    """``name, seq, len, RGB`` per (selected) strand in parts of ``part`` letters; colour of the 5' end, else
+    of the 3' end. ``labels``: strand, label (in place of ``strand_<id>``)."""
     if selection is not None:
         wanted = mono.join(selection.select("id"), "id", "left_semi").select("strand").distinct()
         mono = mono.join(wanted, "strand", "left_semi")
-    seq = sequences(mono).groupBy("strand").agg(F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("part", "sequence"))), lambda x: x["sequence"]), "").alias("seq"))
     per = mono.groupBy("structure", "strand").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("color", "pos").alias("c5"),
         F.max_by("color", "pos").alias("c3"))
     c = F.coalesce("c5", "c3").cast("bigint")
     rgb = F.concat_ws("/", F.shiftright(c, 16).bitwiseAND(255), F.shiftright(c, 8).bitwiseAND(255),
                       c.bitwiseAND(255))
-    d = dense_index(per.join(seq, "strand"), ["structure"], ["strand"], "_g", "_row", "_k")
-    rows = d.select(F.col("structure").alias("file"), F.col("_row").alias("line_no"), F.concat_ws(
-        ",", F.concat(F.lit("strand_"), "strand"), "seq", "n", F.when(c.isNotNull(), rgb)
-        .otherwise(" ")).alias("line"))
-    head = rows.select("file").distinct().withColumn("line", F.lit("name, seq, len, RGB"))
-    return with_header(head, rows)
+    d = dense_index(per, ["structure"], ["strand"], "_g", "_row", "_k")
+    name = F.concat(F.lit("strand_"), "strand")
+    if labels is not None:
+        d = d.join(labels, "strand", "left")
+        name = F.coalesce(F.nullif("label", F.lit("")), name)
+    d = d.select("strand", F.col("structure").alias("file"), (F.col("_row") + 1).alias("line_no"), "n",
+                 F.concat(name, F.lit(",")).alias("head"), F.concat_ws(
+                     ",", F.lit(""), "n", F.when(c.isNotNull(), rgb).otherwise(" ")).alias("tail"))
+    last = F.col("part") == F.floor((F.col("n") - 1) / part)
+    rows = sequences(mono, part).join(d, "strand").select("file", "line_no", "part", F.concat(
+        F.when(F.col("part") == 0, F.col("head")).otherwise(""), "sequence", F.when(last, F.col("tail")).otherwise("")
+    ).alias("text"), last.alias("last"))
+    head = d.select("file").distinct().select("file", F.lit(0).alias("line_no"), F.lit("name, seq, len, RGB").alias("line"))
+    return as_parts(head).unionByName(rows)
 
 
 def _vector(v: Column) -> Column:
@@ -353,15 +363,17 @@ def forces_text(mono: DataFrame, forces: DataFrame, new_format: bool = True
 def index_groups(members: DataFrame, width: int = 4096) -> DataFrame:
     """Member ids per coarse particle, one line per group: ``members``: structure, grp, id.
 
-    Very large groups are written as several lines of ``width`` ids joined by the reader of
-    the group number in front of the line order.
+    A line comes in parts of ``width`` ids: file, line_no, grp, part, text, last.
     """
-    d = dense_index(members, ["structure", "grp"], ["id"], "_g", "_k")
+    d = dense_index(members, ["structure", "grp"], ["id"], "_g", "_k", "_n")
     part = F.floor(F.col("_k") / width)
-    lines = d.groupBy("structure", "grp", part.alias("part")).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), " ").alias("line"))
-    return dense_index(lines, ["structure"], ["grp", "part"], "_g", "line_no").select(
-        F.col("structure").alias("file"), "line_no", "grp", "part", "line")
+    lines = d.groupBy("structure", "grp", part.alias("part"), "_n").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), " ").alias("ids"))
+    numbers = dense_index(lines.filter("part = 0").select("structure", "grp"), ["structure"], ["grp"], "_g", "line_no", "_m")
+    return lines.join(numbers.select("structure", "grp", "line_no"), ["structure", "grp"]).select(
+        F.col("structure").alias("file"), "line_no", "grp", "part", F.concat(
+            F.when(F.col("part") > 0, " ").otherwise(""), "ids").alias("text"),
+        (F.col("part") == F.floor((F.col("_n") - 1) / width)).alias("last"))
 
 
 def fluctuations(series: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molframe.operators.residues import PROTEIN
 from molframe.plans.ordered import dense_index, running
+from molframe.sinks.long_lines import BLOCK, RANGE, read_pieces
 from molframe.sources.lines import blocks, fields, number, read_lines, whole
 
 FORCE_TYPES = ["mutual_trap", "skew_trap", "repulsion_plane", "attraction_plane"]
@@ -94,10 +95,25 @@ def apply_masses(spheres: DataFrame, masses: DataFrame) -> tuple[DataFrame, Data
     return s.join(masses, keys), s.join(masses, keys, "left_anti")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """file, id from space-separated ids."""
-    return (read_lines(spark, path).select("file", F.explode(fields(F.col("line"))).alias("t"))
-            .select("file", whole(F.col("t")).alias("id")).filter(F.col("id").isNotNull()))
+def read_ids(spark: SparkSession, path: str, size: int = RANGE, block: int = BLOCK) -> DataFrame:
+    """file, id from space-separated ids, also in lines of any length.
+
+    A piece of a line may begin or end inside an id: its first and last ids are put together with those of
+    the pieces around it.
+    """
+    d = read_pieces(spark, path, size, block)
+    ids = F.split("text", r"\s")
+    inner = d.select("file", F.explode(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0)))).alias("t"))
+    # what stands at the borders of a piece: its last id begins before the first one of the next piece
+    head = F.struct((2 * F.col("at")).alias("o"), F.get(ids, F.lit(0)).alias("t"), (F.col("at") == 0).alias("begins"))
+    tail = F.struct((2 * (F.col("at") + F.length("text")) - 1).alias("o"), F.element_at(ids, -1).alias("t"), F.lit(True).alias("begins"))
+    edge = d.select("file", "line_no", F.explode(F.when(F.size(ids) > 1, F.array(head, tail)).otherwise(
+        F.array(head))).alias("e")).select("file", "line_no", "e.*")
+    order = dense_index(edge, ["file"], ["line_no", "o"], "_g", "_k", "_m")
+    joined = running(order, ["file"], "_k", sums={"_id": F.col("begins").cast("bigint")}).groupBy("file", "_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "t"))), lambda x: x["t"]), "").alias("t"))
+    return inner.unionByName(joined.select("file", "t")).select("file", whole(F.col("t")).alias("id")).filter(
+        F.col("id").isNotNull())
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

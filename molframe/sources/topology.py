@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molframe.plans.ordered import dense_index
+from molframe.session import materialise
+from molframe.sinks.long_lines import BLOCK, RANGE, read_pieces
 from molframe.sources.lines import blocks, fields, read_lines, whole
 
 
 def detect(spark: SparkSession, path: str) -> DataFrame:
     """file, dialect: 'new', 'old' or 'patchy' by header and line count."""
-    lines = read_lines(spark, path).filter(F.trim("line") != "")
-    per = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"),
-                                    F.min_by("line", "line_no").alias("header"))
+    lines = read_pieces(spark, path)
+    blank = lines.groupBy("file", "line_no").agg(F.bool_or(F.trim("text") != "").alias("_text")).filter("_text")
+    heads = lines.filter("line_no = 0 AND at = 0").select("file", F.col("text").alias("header"))
+    per = blank.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(heads, "file")
     h = fields(F.col("header"))
     first, second = whole(F.get(h, F.lit(0))), whole(F.get(h, F.lit(1)))
     return per.select("file", F.when(F.contains("header", F.lit("5->3")), "new")
@@ -39,32 +42,42 @@ def read_old(spark: SparkSession, path: str) -> DataFrame:
         F.when(~ok, F.col("line")).alias("_corrupt"))
 
 
-def read_new(spark: SparkSession, path: str) -> DataFrame:
-    """One row per strand: file, line_no, sequence, kw (map), type, circular."""
-    rows = read_lines(spark, path).filter((F.col("line_no") > 0) & (F.trim("line") != ""))
-    parts = F.split(F.trim("line"), r"\s+", 2)
+def read_new(spark: SparkSession, path: str, size: int = RANGE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(strands: file, line_no, n, kw (map), type, circular; letters: file, line_no, at, text).
+
+    Letters come in pieces that begin at place ``at`` of their strand. Lines start with their letters; what
+    follows the first blank are keywords, a short text.
+    """
+    d = read_pieces(spark, path, size, block).filter("line_no > 0")
+    key = ["file", "line_no"]
+    # letters end at the first blank
+    blank = F.instr("text", " ")
+    ends = d.groupBy(*key).agg(F.coalesce(F.min(F.when(blank > 0, F.col("at") + blank - 1)),
+                                          F.max(F.col("at") + F.length("text"))).alias("n")).filter("n > 0")
+    d = materialise(d.join(ends, key), "new_topology")
+    after = F.greatest(F.lit(0), F.col("n") - F.col("at")).cast("int")
+    tails = d.filter(F.col("at") + F.length("text") > F.col("n")).groupBy(*key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", F.substring("text", after + 1, F.length("text")).alias("t")))),
+        lambda x: x["t"]), "").alias("_tail"))
+    flag = lambda v: F.when(F.lower(v).isin("true", "false"), F.lower(v)).otherwise(v)
     kw = F.expr("str_to_map(trim(_tail), '\\\\s+', '=')")
-    d = rows.select("file", "line_no", F.get(parts, F.lit(0)).alias("sequence"),
-                    F.get(parts, F.lit(1)).alias("_tail"))
-    d = d.withColumn("kw", F.when(F.trim(F.coalesce("_tail", F.lit(""))) != "", kw)
-                     .otherwise(F.create_map().cast("map<string,string>"))).drop("_tail")
-    flag = lambda v: F.when(F.lower(v).isin("true", "false"), F.lower(v)).otherwise(v)
-    d = d.withColumn("kw", F.transform_values("kw", lambda k, v: flag(v)))
-    return d.select("*", F.coalesce(F.col("kw")["type"], F.lit("DNA")).alias("type"),
-                    (F.coalesce(F.col("kw")["circular"], F.lit("false")) == "true")
-                    .alias("circular"))
-
-
-def new_monomers(strands: DataFrame) -> DataFrame:
+    strands = ends.join(tails, key, "left").withColumn("kw", F.transform_values(F.when(
+        F.trim(F.coalesce("_tail", F.lit(""))) != "", kw).otherwise(
+        F.create_map().cast("map<string,string>")), lambda k, v: flag(v))).select(
+        *key, "n", "kw", F.coalesce(F.col("kw")["type"], F.lit("DNA")).alias("type"),
+        (F.coalesce(F.col("kw")["circular"], F.lit("false")) == "true").alias("circular"))
+    return strands, d.select(*key, "at", F.substring("text", F.lit(1), after).alias("text")).filter("text != ''")
+
+
+def new_monomers(strands: DataFrame, letters: DataFrame) -> DataFrame:
     """Monomers of ``read_new``: file, line_no, pos, base, prev, next positions (wrapped if circular)."""
-    n = F.length("sequence")
-    pos = F.col("pos")
-    last = n - 1
-    return (strands.withColumn("pos", F.explode(F.sequence(F.lit(0), last)))
-            .select("file", "line_no", "type", "pos",
-                    F.substring("sequence", pos + 1, F.lit(1)).alias("base"),
-                    F.when(pos < last, pos + 1).when(F.col("circular"), 0).alias("n3_pos"),
-                    F.when(pos > 0, pos - 1).when(F.col("circular"), last).alias("n5_pos")))
+    one = letters.select("file", "line_no", "at", F.posexplode(F.split("text", "")).alias("k", "base")).filter(
+        "base != ''").select("file", "line_no", (F.col("at") + F.col("k")).alias("pos"), "base")
+    pos, last = F.col("pos"), F.col("n") - 1
+    return one.join(strands.select("file", "line_no", "n", "type", "circular"), ["file", "line_no"]).select(
+        "file", "line_no", "type", "pos", "base",
+        F.when(pos < last, pos + 1).when(F.col("circular"), F.lit(0).cast("bigint")).alias("n3_pos"),
+        F.when(pos > 0, pos - 1).when(F.col("circular"), last).alias("n5_pos"))
 
 
 def read_patchy(spark: SparkSession, path: str, loro: bool = False) -> DataFrame:
