@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molframe.llm.core import query, table, texts
+from molframe.llm.core import query, table, texts, words
 from molframe.llm.unit_cache import UnitCache, once
 from molframe.session import materialise
 
@@ -77,10 +77,10 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             n, digest, found = [], [], []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                n.append(len(words))
-                digest.append(hashlib.sha256(b" ".join(words)).digest())
-                found.append(np.unique(anchors(_hashes(words), window)).view(np.int64))
+                own = words_of(text)
+                n.append(len(own))
+                digest.append(hashlib.sha256(b" ".join(own)).digest())
+                found.append(np.unique(anchors(_hashes(own), window)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                  pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_words", "digest", "anchors"])
@@ -89,12 +89,11 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def seeded_windows(chosen: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k1, k2, doc_id, start: hashed windows of (doc_id, text, shared) whose anchor is shared."""
+    """k1, k2, doc_id, row, start: hashed windows of (doc_id, row, text, shared) whose anchor is shared."""
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = batch.column("shared")
-            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(),
-                                                batch.column("text").to_pylist())):
+            for i, (doc, row, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "text")])):
                 h = _hashes(words_of(text))
                 own = np.sort(shared[i].values.to_numpy().view(np.uint64))
                 anchor = anchors(h, window)
@@ -105,10 +104,10 @@ def seeded_windows(chosen: DataFrame, window: int = WINDOW) -> DataFrame:
                 one, two = (rolling(h, window, b)[start] for b in _BASES)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array((two >> _U(32)).astype(np.uint32).view(np.int32)),
-                     pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int32))],
-                    ["k1", "k2", "doc_id", "start"])
+                     pa.array(np.full(len(start), doc)), pa.array([row] * len(start)), pa.array(start.astype(np.int32))],
+                    ["k1", "k2", "doc_id", "row", "start"])
 
-    return chosen.mapInArrow(extend, "k1 long, k2 int, doc_id long, start int")
+    return chosen.mapInArrow(extend, "k1 long, k2 int, doc_id long, row string, start int")
 
 
 def spans_of(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -137,12 +136,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``spans`` are the maximal repeats: words inside windows of ``window`` words that also start in
     a document with a smaller doc_id. ``kept_text`` is the rest, joined by spaces; null where
     nothing was removed (the text is kept). Null texts have no words. Rows that repeat a doc_id do not
-    count against each other unless their words are equal, in which case they are treated alike;
-    of a null doc_id nothing is removed.
+    count against each other and each keeps its own text and spans; those with equal words are treated
+    alike. Of a null doc_id nothing is removed.
     """
-    rows = texts(docs)
-    read = materialise(digests(rows, window), "digests")
+    read = materialise(digests(texts(docs), window), "digests")
     known = read.filter("doc_id IS NOT NULL")
+    # rows of one id with different words are told apart by their digest; all others have no mark
+    again = materialise(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter(
+        "a != b").select(F.col("doc_id").alias("_again")), "again")
+    mark = lambda d, digest: d.join(_few(again), d["doc_id"] == again["_again"], "left").withColumn(
+        "row", F.when(F.col("_again").isNotNull(), digest).otherwise("")).drop("_again")
+    rows = mark(texts(docs), F.sha2(F.array_join(words("text"), " "), 256))
     classes = materialise(known.filter(f"n_words >= {window}").groupBy("digest").agg(
         F.min("doc_id").alias("rep")), "classes")
     # one document stands for all with the same words
@@ -155,7 +159,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = materialise(seeded_windows(own.join(wanted, "doc_id"), window), "windows")
     first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
                                             ).filter("first < last").select("k1", "k2", "first")
-    later = materialise(windows.join(first, ["k1", "k2"]).filter("first < doc_id").groupBy("doc_id").agg(
+    later = materialise(windows.join(first, ["k1", "k2"]).filter("first < doc_id").groupBy("doc_id", "row").agg(
         F.collect_set("start").alias("starts")), "repeats")
     hit = rows.dropna(subset=["doc_id"]).join(_few(later.select("doc_id")), "doc_id", "left_semi")
     shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -166,16 +170,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept = [b" ".join(remove_spans(words_of(t), s))
                     for t, s in zip(batch.column("text").to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(
+                batch.column("doc_id"), batch.column("row"), pa.array(
                     [[{"start": a, "length": n} for a, n in s] for s in spans], shape),
                 pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                ["doc_id", "spans", "kept_text", "kept_sha"])
+                ["doc_id", "row", "spans", "kept_text", "kept_sha"])
 
-    edited = hit.join(later, "doc_id").mapInArrow(
-        cut, "doc_id long, spans array<struct<start:bigint,length:bigint>>, kept_text string, "
-             "kept_sha string").dropDuplicates(["doc_id"])
-    of = read.drop("anchors").join(classes, "digest", "left").join(edited, "doc_id", "left")
+    edited = hit.join(later, ["doc_id", "row"]).mapInArrow(
+        cut, "doc_id long, row string, spans array<struct<start:bigint,length:bigint>>, kept_text string, "
+             "kept_sha string").dropDuplicates(["doc_id", "row"])
+    of = mark(read.drop("anchors"), F.lower(F.hex("digest"))).join(classes, "digest", "left").join(
+        edited, ["doc_id", "row"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("length")))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
