@@ -8,7 +8,8 @@ change of the count, from which lengths, truncation points and budget questions
 without encoding anything again.
 
 No piece of the vocabulary reaches across a space that follows another character, so texts are cut
-there, and frequent units come from a cache.
+there, and frequent units come from a cache. Spaces join one another after all other merges, so a run
+of spaces is counted by its length, whatever follows it: work is linear in the text.
 """
 
 from __future__ import annotations
@@ -41,8 +42,16 @@ class PrefixCounter:
         pieces = {m.id_to_piece(i).replace(MARK, " "): m.get_score(i) for i in plain}
         if any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("a piece holds a space mark after another character")
-        # merges happen in the order of scores; runs of spaces share one and are left to the model
         merged = sorted((p for p in pieces if len(p) > 1 and p.strip(" ")), key=lambda p: -pieces[p])
+        runs = [p for p in pieces if len(p) > 1 and not p.strip(" ")]
+        # merges happen in the order of scores: spaces join one another only after all else
+        if runs and merged and max(pieces[p] for p in runs) >= pieces[merged[-1]]:
+            raise ValueError("runs of spaces are merged before other pieces")
+        if any(p.startswith("  ") for p in merged):
+            raise ValueError("a piece holds more than one space and another character")
+        # tokens of 0, 1, 2 .. spaces, up to the longest run that is one piece
+        self.longest = max(map(len, runs), default=1)
+        self.spaces = [0, 1, *(len(m.encode(" " * (n - 1))) for n in range(2, self.longest + 1))]
         single = [p for p in pieces if len(p) == 1]
         self.rank = {p: i for i, p in enumerate([*single, *merged])}
         self.halves: dict[str, tuple[str, str]] = {p: (p, p) for p in single}
@@ -95,12 +104,25 @@ class PrefixCounter:
 
         A unit without its space is one that a single space precedes.
         """
-        unit = unit if unit.startswith(" ") else f" {unit}"
-        if unit.startswith("  "):
-            counts = [0, 1, *(len(self.model.encode(unit[1:k])) for k in range(2, len(unit) + 1))]
-            return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
+        tail = unit.lstrip(" ")
+        n = max(len(unit) - len(tail), 1)
+        counts, alone = self._counts(f" {tail}")
+        if n > 1:
+            # the last of the spaces either joins the piece behind it or ends the run
+            with_last, without = self._run(n), self._run(n - 1)
+            counts = [*map(self._run, range(n)),
+                      *(c - 1 + with_last if a else c + without for c, a in zip(counts[1:], alone[1:]))]
+        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
+
+    def _run(self, n: int) -> int:
+        """Tokens of ``n`` spaces: whole longest pieces from the left, then the rest."""
+        whole, rest = divmod(n, self.longest)
+        return whole + self.spaces[rest]
+
+    def _counts(self, unit: str) -> tuple[list[int], list[bool]]:
+        """Tokens of every prefix of ``unit`` (one space in front), and whether the space is one of them."""
         ends, fits = self.ends, self.fits
-        counts, last = [0], [None]
+        counts, last, alone = [0], [None], [False]
         for i in range(1, len(unit) + 1):
             node, j = ends, i
             while j:
@@ -110,6 +132,7 @@ class PrefixCounter:
                     # outside the vocabulary: a token for each byte, and nothing merges with it
                     last.append(None)
                     counts.append(counts[-1] + len(unit[i - 1].encode()))
+                    alone.append(alone[-1])
                     break
                 piece = node.get(None)
                 if piece is None:
@@ -124,8 +147,9 @@ class PrefixCounter:
                         continue
                 last.append(piece)
                 counts.append(counts[j] + 1)
+                alone.append(alone[j] if j else i == 1)
                 break
-        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
+        return counts, alone
 
 
 def prefix_deltas(text: str, path: str) -> bytes:
