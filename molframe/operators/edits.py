@@ -214,55 +214,40 @@ def dna_steps(starts: DataFrame) -> DataFrame:
 def rna_steps(starts: DataFrame) -> DataFrame:
     """Ideal RNA steps (A-form): same columns as ``dna_steps``.
 
-    Bases sit on the two ends of a chord, tilted against the axis; the chord is first laid on
-    the axis, turned so that it runs along the old a1, then turned and lifted k times.
+    Works in the frame of the helix: ``_h_u`` along its axis, ``_h_e`` along the level part of the bond
+    between the two bases, ``_h_r`` radial towards the bond's middle. The middles lie on a screw
+    line, the bond turns with them at a constant lean, and both bases sit on it at equal distances
+    from the middle; so each step follows from k alone. The axis lies in the plane of a1 and a3.
     """
-    cord = math.cos(RNA_TILT) * RNA_CHORD
-    out = math.sqrt((RNA_DIAMETER / 2) ** 2 - (cord / 2) ** 2)
-    lift = RNA_CHORD / 2 * math.sin(RNA_TILT)
-    n3 = F.col("towards") == "n3"
-    normal = unit(cross(F.col("a1"), F.col("a3")))
-    d = starts.withColumns({"_p": F.col("p"), "_a1": F.col("a1"), "_n": normal})
-    d = d.withColumn("_dir", unit(scale(rotate(F.col("a3"), F.col("_n"), RNA_TILT),
-                                        F.when(n3, -1.0).otherwise(1.0))))
-    u = F.col("_dir")
-
-    def onto(x, y, z):
-        """The vector turned by the shortest turn of the z axis onto the helix axis."""
-        k = 1 / (1 + u["z"])
-        w = u["x"] * x + u["y"] * y
-        turned = vec(x + u["x"] * (z - k * w), y + u["y"] * (z - k * w), z * u["z"] - w)
-        return F.when(u["z"] < -1 + 1e-12, vec(-x, y, -z)).otherwise(turned)
-
-    d = d.withColumns({"_r1": onto(out, -cord / 2, -lift), "_r2": onto(out, cord / 2, lift)})
-    along = F.when(n3, sub(F.col("_r2"), F.col("_r1"))).otherwise(sub(F.col("_r1"), F.col("_r2")))
-    d = d.withColumn("_v", along)
-    flat = lambda v: sub(v, scale(u, dot(v, u)))
-    d = d.withColumns({"_fv": flat(F.col("_v")), "_fa": flat(F.col("_a1"))})
-    angle = F.atan2(dot(cross(F.col("_fv"), F.col("_fa")), u), dot(F.col("_fv"), F.col("_fa")))
-    d = d.withColumn("_angle", angle)
-    d = d.withColumns({r: rotate(F.col(r), u, F.col("_angle")) for r in ("_r1", "_r2")})
-    from_ = F.when(n3, F.col("_r1")).otherwise(F.col("_r2"))
-    d = d.withColumn("_o", sub(sub(F.col("_p"), from_), scale(F.col("_a1"), RNA_FUDGE)))
-    d = _letters(d).withColumn("_t", F.col("k") + 1)
-    d = d.withColumns({r: add(rotate(F.col(r), u, F.col("_t") * RNA_TURN),
-                              scale(u, F.col("_t") * RNA_RISE)) for r in ("_r1", "_r2")})
-    d = d.withColumn("_x", unit(sub(F.col("_r2"), F.col("_r1"))))
-    d = d.withColumn("_fx", unit(flat(F.col("_x"))))
-    lean = add(scale(u, -math.cos(RNA_TILT)), scale(F.col("_fx"), math.sin(RNA_TILT)))
-    d = d.withColumn("_y", unit(lean))
-    d = d.withColumn("_z", unit(add(scale(u, math.cos(RNA_TILT)),
-                                    scale(F.col("_fx"), -math.sin(RNA_TILT)))))
-    x = F.col("_x")
-    one = add(add(F.col("_r1"), scale(x, RNA_FUDGE)), F.col("_o"))
-    two = add(sub(F.col("_r2"), scale(x, RNA_FUDGE)), F.col("_o"))
-    pick = lambda a, b: F.when(n3, a).otherwise(b)
-    y, z = F.col("_y"), F.col("_z")
+    lean, rise = math.cos(RNA_TILT), math.sin(RNA_TILT)
+    radius = math.sqrt((RNA_DIAMETER / 2) ** 2 - (RNA_CHORD / 2 * lean) ** 2)
+    level = lambda v, along: unit(sub(v, scale(along, dot(v, along))))
+    col = F.col
+
+    d = starts.withColumns({"_h_way": F.when(col("towards") == "n3", 1.0).otherwise(-1.0),
+                            "_h_p": col("p"), "_h_a1": col("a1"), "_h_t": unit(col("a3"))})
+    d = d.withColumn("_h_u", scale(sub(scale(level(col("_h_a1"), col("_h_t")), rise), scale(col("_h_t"), lean)),
+                                 col("_h_way")))
+    d = d.withColumn("_h_e", scale(level(col("_h_a1"), col("_h_u")), col("_h_way")))
+    d = d.withColumn("_h_r", cross(col("_h_e"), col("_h_u")))
+    bond = lambda e: scale(add(scale(e, lean), scale(col("_h_u"), rise)), col("_h_way"))
+    # the screw line's start, less the radial part that every step adds again
+    d = d.withColumn("_h_o", sub(add(sub(col("_h_p"), scale(col("_h_a1"), RNA_FUDGE)),
+                                   scale(bond(col("_h_e")), RNA_CHORD / 2)), scale(col("_h_r"), radius)))
+
+    d = _letters(d).withColumn("_h_n", col("k") + 1)
+    c, w = F.cos(col("_h_n") * RNA_TURN), F.sin(col("_h_n") * RNA_TURN)
+    d = d.withColumns({"_h_ek": sub(scale(col("_h_e"), c), scale(col("_h_r"), w)),
+                       "_h_rk": add(scale(col("_h_r"), c), scale(col("_h_e"), w))})
+    d = d.withColumns({
+        "_h_m": add(add(col("_h_o"), scale(col("_h_rk"), radius)), scale(col("_h_u"), col("_h_n") * RNA_RISE)),
+        "_h_b": bond(col("_h_ek")),
+        "_h_y": scale(sub(scale(col("_h_ek"), rise), scale(col("_h_u"), lean)), col("_h_way"))})
+    half = scale(col("_h_b"), RNA_CHORD / 2 - RNA_FUDGE)
     return d.withColumns({
-        "p": pick(one, two), "a1": pick(x, scale(x, -1.0)), "a3": pick(y, scale(y, -1.0)),
-        "q": pick(two, one), "b1": pick(scale(x, -1.0), x), "b3": pick(z, scale(z, -1.0))}).drop(
-        *[c for c in ("_p", "_a1", "_n", "_dir", "_r1", "_r2", "_v", "_fv", "_fa", "_angle", "_o",
-                      "_t", "_x", "_fx", "_y", "_z")])
+        "p": sub(col("_h_m"), half), "a1": col("_h_b"), "a3": col("_h_y"),
+        "q": add(col("_h_m"), half), "b1": scale(col("_h_b"), -1.0), "b3": scale(col("_h_y"), -1.0)}).drop(
+        *[c for c in d.columns if c.startswith("_h_")])
 
 
 def _steps(starts: DataFrame) -> DataFrame:

@@ -176,12 +176,40 @@ def _(spark, sf):
                                  *flat(C("q"), "q_"))
 
 
-@query("edt_helix_rna")
+def per_axis(form: str, name: str) -> str:
+    """One SQL column per axis: ``@`` stands for the axis."""
+    return ", ".join(f"{form.replace('@', a)} AS {name}{a}" for a in "xyz")
+
+
+def inner(u: str, v: str) -> str:
+    return "(" + " + ".join(f"{u}{a}*{v}{a}" for a in "xyz") + ")"
+
+
+RNA_OUT = {"p_": "o@ + rad*rk@ + u@*n*0.3287 - 0.6*bond@", "a1_": "bond@", "a3_": "y@",
+           "q_": "o@ + rad*rk@ + u@*n*0.3287 + 0.6*bond@", "b3_": "-y@"}
+
+
+@query("edt_helix_rna", f"""WITH c AS (SELECT id, x AS px, y AS py, z AS pz, a1x, a1y, a1z, a3x, a3y, a3z,
+    CASE WHEN id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS way, cos(radians(15.5)) AS cl,
+    -sin(radians(15.5)) AS sl, sqrt(1.175*1.175 - cos(radians(15.5))*cos(radians(15.5))) AS rad FROM pts),
+    t AS (SELECT *, {per_axis(f"a3@/sqrt({inner('a3', 'a3')})", "t")} FROM c),
+    l AS (SELECT *, {per_axis(f"a1@ - t@*{inner('a1', 't')}", "l")} FROM t),
+    u AS (SELECT *, {per_axis(f"way*(sl*l@/sqrt({inner('l', 'l')}) - cl*t@)", "u")} FROM l),
+    f AS (SELECT *, {per_axis(f"a1@ - u@*{inner('a1', 'u')}", "f")} FROM u),
+    e AS (SELECT *, {per_axis(f"way*f@/sqrt({inner('f', 'f')})", "e")} FROM f),
+    r AS (SELECT *, ey*uz - ez*uy AS rx, ez*ux - ex*uz AS ry, ex*uy - ey*ux AS rz FROM e),
+    o AS (SELECT *, {per_axis("p@ - 0.4*a1@ + way*(cl*e@ + sl*u@) - rad*r@", "o")} FROM r),
+    n AS (SELECT *, k + 1 AS n, cos(radians(32.7)*(k + 1)) AS ck, sin(radians(32.7)*(k + 1)) AS sk
+        FROM o, range(5) s(k)),
+    k AS (SELECT *, {per_axis("e@*ck - r@*sk", "ek")}, {per_axis("r@*ck + e@*sk", "rk")} FROM n),
+    b AS (SELECT *, {per_axis("way*(cl*ek@ + sl*u@)", "bond")}, {per_axis("way*(sl*ek@ - cl*u@)", "y")} FROM k)
+    SELECT id, CAST(k AS INT) AS k, substr('ACGGU', CAST(k AS INT) + 1, 1) AS letter, {", ".join(
+        f"{r4(form.replace('@', a))} AS {name}{a}" for name, form in RNA_OUT.items() for a in "xyz")} FROM b""")
 def _(spark, sf):
     s = A.points(spark, sf).select("id", "p", "a1", "a3", F.when(C("id") % 2 == 0, "n3").otherwise(
         "n5").alias("towards"), F.lit("ACGGU").alias("sequence"))
-    return E.rna_steps(s).select("id", "k", "letter", *flat(C("p"), "p_"), *flat(C("a1"), "a1_"),
-                                 *flat(C("q"), "q_"))
+    return E.rna_steps(s).select("id", "k", "letter", *[c for n, v in zip(
+        RNA_OUT, ("p", "a1", "a3", "q", "b3")) for c in flat(C(v), n)])
 
 
 EXTENSIONS = """(SELECT first + len - 1 AS e, strand, 'ACGT' AS seq, 3 AS way, len - 1 AS at FROM strands
