@@ -15,18 +15,35 @@ from molframe.streaming import frames as S
 C = F.col
 
 
+#: Lines of one piece of the landed trajectory: frames go over the borders of pieces.
+PIECE = 500
+
+
 def landing(spark, sf) -> str:
-    """Every frame of the coordinates as frame text; each file holds whole frames."""
+    """Every frame of the coordinates as lines of one trajectory, cut into pieces of ``PIECE`` lines.
+
+    A last piece with the header of one more frame, without monomers, ends the frame before it.
+    """
     c = dense_index(A.coords(spark, sf).drop("len"), ["frame"], ["particle"], "_g", "row")
     line = F.concat_ws(" ", F.round(C("p.x") * 100).cast("bigint"), C("p.y").cast("bigint"), "frame",
                        F.lit("1 0 0 0 0 1 0 0 0 0 0 0"))
-    rows = F.array_sort(F.collect_list(F.struct("row", line.alias("l"))))
-    text = c.groupBy("frame").agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias("b"))
+    frames = c.select("frame").distinct()
+    frames = frames.unionByName(frames.agg((F.max("frame") + 1).alias("frame")))
+    heads = frames.select("frame", F.posexplode(F.array(
+        F.concat(F.lit("t = "), "frame"), F.lit("b = 50 50 50"), F.lit("E = 0 0 0"))).alias("row", "line"))
+    lines = heads.unionByName(c.select("frame", (C("row") + 3).alias("row"), line.alias("line")))
+    lines = dense_index(lines, [], ["frame", "row"], "_g", "pos")
     path = new_folder(spark, "landing")
-    text.select(F.concat(F.lit("t = "), "frame", F.lit("\nb = 50 50 50\nE = 0 0 0\n"), "b")).write.text(path)
+    (lines.select(F.lit("run").alias("file"), F.floor(C("pos") / PIECE).alias("piece"), "pos", "line")
+     .repartition("piece").sortWithinPartitions("piece", "pos").drop("pos")
+     .write.partitionBy("file", "piece").text(path))
     return path
 
 
+def arriving(spark, sf):
+    return S.stream_lines(spark, landing(spark, sf), 7)
+
+
 def finish(q):
     q.awaitTermination()
 
@@ -37,16 +54,16 @@ ROWS = """SELECT frame AS time, row_number() OVER (PARTITION BY frame ORDER BY p
 
 @query("stm_frames", ROWS)
 def _(spark, sf):
-    out, check = new_folder(spark, "out"), new_folder(spark, "check")
-    stream = S.coords(S.read_frames(spark, landing(spark, sf))).select("time", "id", "p.x", "p.y", "p.z")
-    finish(S.run_to_files(stream, out, check))
-    return spark.read.schema(stream.schema).parquet(out)
+    out = new_folder(spark, "out")
+    finish(S.observe(arriving(spark, sf), S.positions, out, new_folder(spark, "check")))
+    d = spark.read.schema("time bigint, id bigint, x double, y double, z double").parquet(out)
+    return d.select("time", "id", "x", "y", "z")
 
 
 def centres(spark, sf) -> str:
     sel = A.coords(spark, sf).select(C("particle").alias("id")).distinct().filter(C("id") % 3 == 0)
     out = new_folder(spark, "centres")
-    finish(S.observe(S.read_frames(spark, landing(spark, sf)), S.centre_of(sel, "thirds"), out,
+    finish(S.observe(arriving(spark, sf), S.centre_of(sel, "thirds"), out,
                      new_folder(spark, "check")))
     return out
 
@@ -68,7 +85,7 @@ def _(spark, sf):
     ids = A.coords(spark, sf).select(C("particle").alias("a")).distinct().filter(C("a") % 4 == 0)
     pairs = ids.select("a", (C("a") + 2).alias("b"))
     out = new_folder(spark, "distances")
-    finish(S.observe(S.read_frames(spark, landing(spark, sf)), S.distances_of(pairs), out,
+    finish(S.observe(arriving(spark, sf), S.distances_of(pairs), out,
                      new_folder(spark, "check")))
     d = spark.read.schema("file string, time bigint, a bigint, b bigint, d double, nm double").parquet(out)
     return d.select("time", "a", "b", r(C("d")).alias("d"))
@@ -82,7 +99,7 @@ def _(spark, sf):
 def _(spark, sf):
     ids = A.coords(spark, sf).select(C("particle").alias("id")).distinct()
     out = new_folder(spark, "centres")
-    finish(S.observe(S.read_frames(spark, landing(spark, sf)), S.centres_of(ids.select(
+    finish(S.observe(arriving(spark, sf), S.centres_of(ids.select(
         (C("id") % 3).cast("string").alias("selection"), "id")), out, new_folder(spark, "check")))
     stored = spark.read.schema(CENTRE).parquet(out)
     # a replayed file gives its frames again

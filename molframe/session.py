@@ -50,9 +50,12 @@ def discard(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_stored_at", None)
         if path is not None:
-            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            delete_folder(t.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -1,55 +1,148 @@
-"""Frames arriving one after another in a landing folder.
-
-A file holds whole frames. Each frame is one row of the stream (``lineSep``), parsed by the same
-rules as trajectory files; there is no socket and no event time.
+"""Frames arriving in a landing folder, in pieces of any size.
+
+Lines stream in one by one, so neither a frame nor a file is ever one value. A trajectory comes
+as ``file=<name>/piece=<n>/<any name>``, one file of whole lines per piece, numbered without gaps;
+a file outside such folders is a whole trajectory. A frame may go over several pieces, and pieces
+may arrive in any order and batch: the lines of frames that are still open are the state. It is a
+table in the checkpoint folder, one per batch, so a large trajectory is work for many tasks and a
+batch that is run again starts from the same state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from molframe.functions.geometry import mean, vec
 from molframe.operators.pairing import frame_distances
-from molframe.plans.ordered import dense_index, neighbours
+from molframe.plans.ordered import CHUNK, dense_index, neighbours, running
+from molframe.session import delete_folder, discard, materialise
 from molframe.sources.lines import fields, number, whole
+from molframe.sources.trajectory import HEADER
 
-
-def read_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of frames: file, time, body (lines after the header)."""
-    raw = (spark.readStream.option("lineSep", "t = ").option("maxFilesPerTrigger", files_per_batch)
-           .schema("value string").text(path))
-    lines = F.split("value", "\n")
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    return raw.filter(F.trim("value") != "").select(
-        name.alias("file"), whole(F.trim(F.get(lines, F.lit(0)))).alias("time"),
-        F.filter(F.slice(lines, F.lit(4), F.size(lines)), lambda l: F.trim(l) != "").alias("body"))
+#: Lines of the state: ``key`` tells trajectories apart, ``idx`` is the line's place in its piece.
+LINES = "key string, file string, piece bigint, closed boolean, idx bigint, line string"
 
 
-def coords(frames: DataFrame) -> DataFrame:
-    """One row per monomer of each arriving frame: file, time, id, p."""
-    rows = frames.select("file", "time", F.posexplode("body").alias("id", "line"))
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of lines with their file (``_path``), its split (``_start``), trajectory and piece."""
+    raw = (spark.readStream.option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", files_per_batch).schema("value string").text(path))
+    at = F.col("_metadata.file_path")
+    named = F.regexp_extract(at, "/file=([^/]+)/piece=[0-9]+/", 1)
+    piece = F.regexp_extract(at, "/file=[^/]+/piece=([0-9]+)/", 1).try_cast("bigint")
+    return raw.filter(F.trim("value") != "").select(
+        at.alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.when(piece.isNull(), at).otherwise(named).alias("key"),
+        F.when(piece.isNull(), F.element_at(F.split(at, "/"), -1)).otherwise(named).alias("file"),
+        F.coalesce(piece, F.lit(0)).alias("piece"), piece.isNull().alias("closed"),
+        F.col("value").alias("line"))
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """The lines of one batch with ``idx``, their place in the piece (``LINES``), stored."""
+    raw = materialise(batch.withColumn("_mid", F.monotonically_increasing_id()), "arrived")
+    split = ["key", "piece", "_path", "_start"]
+    before = W.partitionBy("key", "piece").orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = raw.groupBy(*split).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
+        *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = materialise(raw.join(splits, split).select(
+        "key", "file", "piece", "closed", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("idx"),
+        "line"), "numbered")
+    discard(raw)
+    return out
+
+
+def placed(lines: DataFrame, size: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Adds to ``LINES``: ``time`` of the line's frame, ``row`` in it (0: ``t =``), ``done``.
+
+    Pieces that follow one another without a gap make one run of positions; the last ``t =``
+    before a line, in its own piece or an earlier one of the run, opens its frame. A frame is done
+    when a later one begins in the run, when its file is closed, or when it has ``size`` monomers.
+    Lines without an opened frame have a null row.
+    """
+    starts = F.col("line").startswith("t ") | F.col("line").startswith("t=")
+    stamp = whole(F.trim(F.regexp_replace("line", "^[^=]*=", "")))
+    opens = F.when(starts, F.struct(F.col("idx").alias("idx"), stamp.alias("time")))
+    here = running(lines, ["key", "piece"], "idx", lasts={"_own": opens}, chunk=chunk)
+
+    pieces = lines.groupBy("key", "piece").agg(
+        F.min("idx").alias("_low"), F.count(F.lit(1)).alias("_n"),
+        F.max_by(opens, F.when(starts, F.col("idx"))).alias("_open"))
+    order = W.partitionBy("key").orderBy("piece")
+    gap = F.coalesce(F.col("piece") != F.lag("piece").over(order) + 1, F.lit(True))
+    pieces = pieces.withColumn("_run", F.sum(gap.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    inside = W.partitionBy("key", "_run")
+    earlier = inside.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_low"))
+    pieces = pieces.withColumn("_last", F.when(F.col("_open").isNotNull(), F.struct(
+        (F.col("_base") + F.col("_open.idx")).alias("at"), F.col("_open.time").alias("time"))))
+    pieces = pieces.select(
+        "key", "piece", "_base", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"),
+        F.max("_last.at").over(inside).alias("_newest"), F.sum("_n").over(inside).alias("_total"))
+
+    own = F.col("_own").isNotNull()
+    begun = F.when(own, F.col("_base") + F.col("_own.idx")).otherwise(F.col("_carry.at"))
+    d = here.join(pieces, ["key", "piece"]).withColumn("_at", begun)
+    done = F.col("closed") | (F.col("_at") < F.col("_newest"))
+    if size is not None:
+        done = done | (F.col("_total") - F.col("_newest") >= size + HEADER)
+    return d.select("key", "file", "piece", "closed", "idx", "line",
+                    F.when(own, F.col("_own.time")).otherwise(F.col("_carry.time")).alias("time"),
+                    (F.col("_base") + F.col("idx") - F.col("_at")).alias("row"),
+                    (F.col("_at").isNotNull() & done).alias("done"))
+
+
+def coords(rows: DataFrame) -> DataFrame:
+    """One row per monomer of placed lines: file, time, id, p."""
     x = [number(F.get("f", F.lit(i))) for i in range(3)]
-    return rows.withColumn("f", fields(F.col("line"))).select(
-        "file", "time", F.col("id").cast("bigint").alias("id"), vec(*x).alias("p"))
+    return rows.filter(F.col("row") >= HEADER).withColumn("f", fields(F.col("line"))).select(
+        "file", "time", (F.col("row") - HEADER).alias("id"), vec(*x).alias("p"))
 
 
-def observe(frames: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str,
-            checkpoint: str) -> StreamingQuery:
-    """Run ``transform`` on the coordinates of each batch and append its rows to ``out``.
+def observe(lines: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str,
+            checkpoint: str, size: int | None = None) -> StreamingQuery:
+    """Run ``transform`` on the coordinates of the frames that each batch completes; append to ``out``.
 
-    A frame never spans batches, so a result per frame needs no state. Each batch writes its own
-    folder, which makes a repeated batch harmless.
+    ``transform`` sees every frame once and whole. Each batch writes its own folders of results and
+    open lines, which makes a repeated batch harmless; open lines of the batch before the last are
+    deleted. ``size``: monomers of a frame, where known; without it a frame of a numbered
+    trajectory waits for the next one, and ``open_frames`` gives the last.
     """
     def step(batch: DataFrame, number_: int) -> None:
-        transform(coords(batch)).write.mode("overwrite").parquet(f"{out}/batch={number_}")
-
-    return (frames.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        fresh = numbered(batch)
+        waiting = fresh if number_ == 0 else fresh.unionByName(
+            spark.read.schema(LINES).parquet(_open_at(checkpoint, number_ - 1)))
+        rows = materialise(placed(waiting, size), "placed")
+        transform(coords(rows.filter("done"))).write.mode("overwrite").parquet(f"{out}/batch={number_}")
+        # lines of closed files before a first frame belong to nothing
+        rows.filter("NOT done AND NOT closed").drop("time", "row", "done").write.mode("overwrite").parquet(
+            _open_at(checkpoint, number_))
+        discard(fresh, rows)
+        if number_ > 1:
+            delete_folder(spark, _open_at(checkpoint, number_ - 2))
+
+    return (lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _open_at(checkpoint: str, batch: int) -> str:
+    return f"{checkpoint}/open_frames/{batch}"
+
+
+def open_frames(spark: SparkSession, checkpoint: str, batch: int) -> DataFrame:
+    """Coordinates of the frames that are open after ``batch`` (the query's last batchId)."""
+    return coords(placed(spark.read.schema(LINES).parquet(_open_at(checkpoint, batch))))
+
+
+def positions(c: DataFrame) -> DataFrame:
+    """The coordinates themselves: file, time, id, x, y, z."""
+    return c.select("file", "time", "id", "p.x", "p.y", "p.z")
+
+
 def centre_of(selection: DataFrame, name: str = "selection") -> Callable[[DataFrame], DataFrame]:
     """Centre of a selection (id) per frame."""
     def run(c: DataFrame) -> DataFrame:
@@ -85,9 +178,3 @@ def track(centres: DataFrame) -> DataFrame:
     d = neighbours(d, ["selection"], "_pos", {"_last": (F.struct("x", "y", "z"), -1)})
     apart = sum((F.col(c) - F.col(f"_last.{c}")) * (F.col(c) - F.col(f"_last.{c}")) for c in "xyz")
     return d.select("selection", "frame", "x", "y", "z", F.sqrt(apart).alias("step"))
-
-
-def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (stream.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
