@@ -126,6 +126,12 @@ def build_cascade(universe: DataFrame) -> list[tuple[np.ndarray, int]]:
     return levels
 
 
+def shards_for(listed: int, others: int) -> int:
+    """Shards of at most ``SHARD_KEYS`` members in any level: the first holds the listed keys, the
+    second the share ``RATE`` of all others, later ones a share of these."""
+    return max(1, math.ceil((listed + RATE * others) / SHARD_KEYS))
+
+
 def listed_in(df: DataFrame, key: str, listed: DataFrame, name: str = "listed") -> DataFrame:
     """``df`` with boolean ``name``: whether ``key`` is one of the keys of ``listed``.
 
@@ -137,8 +143,8 @@ def listed_in(df: DataFrame, key: str, listed: DataFrame, name: str = "listed")
     all_keys = _keys(df.filter(F.col(key).isNotNull()), key).withColumn("listed", F.lit(0))
     universe = materialise(on.unionByName(all_keys).groupBy("h1", "h2").agg(
         (F.max("listed") == 1).alias("listed")), "universe")
-    n_listed = universe.filter("listed").count()
-    shards = max(1, math.ceil(n_listed / SHARD_KEYS))
+    counts = dict(universe.groupBy("listed").count().collect())
+    shards = shards_for(counts.get(True, 0), counts.get(False, 0))
     per_group = max(1, BROADCAST_BYTES // int(SHARD_KEYS * 1.2))
     hashed = df.withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(1), F.col(key))})
     shard_of = lambda h: F.pmod(h, F.lit(shards))
