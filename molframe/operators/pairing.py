@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from molframe.functions.geometry import dist, dot
 from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
-from molframe.plans.spatial import cell_join
+from molframe.plans.spatial import cell_join, nearest
 from molframe.session import settle
 
 EXACT, GRID, FACING, SAME_A2, ANGSTROM = 0.6, 0.65, -0.85, 0.85, 8.518
@@ -23,27 +23,40 @@ def complementary(t1: Column, t2: Column, b1: Column, b2: Column) -> Column:
     return wc | wobble
 
 
-def candidates(sites: DataFrame, cutoff: float, group: list[str] | None = None) -> DataFrame:
-    """Ordered pair candidates: id, other, d, a1 (product), a2 (product)."""
+def _kinds(own: bool) -> Column:
+    """Classes of bases under which a site is found (``own``) or looks for partners: type mod 3, and G or U."""
+    t, g, u = F.col("type"), 3, 4
+    wobble = F.when(F.col("base") == "G", g if own else u).when(F.col("base") == "U", u if own else g)
+    return F.explode(F.array_compact(F.array(F.pmod(t if own else -t, F.lit(3)).cast("int"), wobble))).alias("_kind")
+
+
+def nearest_partner(sites: DataFrame, cutoff: float, best: Column, group: list[str] | None = None) -> DataFrame:
+    """id and the fields of ``best`` of each monomer's best facing partner nearer than ``cutoff``.
+
+    ``best``: a struct of d, other, a1 and a2 (products), d first. Partners are looked for in growing balls
+    and by base class, so the pairs that meet grow with the monomers, not with their square.
+    """
     group = group or []
     cols = ["id", "type", "base", "a1", "a2", "ns", "n3", "n5"]
-    left = sites.select(*group, *[F.col(c).alias("l_" + c) for c in cols])
-    right = sites.select(*group, *[F.col(c).alias("r_" + c) for c in cols[:-2]])
-    near = cell_join(left, right, cutoff, "l_ns", "r_ns", group, strict=True)
-    far = lambda n: F.coalesce(F.col(n) != F.col("r_id"), F.lit(True))
-    a1 = dot(F.col("l_a1"), F.col("r_a1"))
-    return near.filter((F.col("l_id") != F.col("r_id")) & far("l_n3") & far("l_n5") & complementary(
-        F.col("l_type"), F.col("r_type"), F.col("l_base"), F.col("r_base")) & (a1 < FACING)).select(
-        *group, F.col("l_id").alias("id"), F.col("r_id").alias("other"), F.sqrt("d2").alias("d"),
-        a1.alias("a1"), dot(F.col("l_a2"), F.col("r_a2")).alias("a2"))
+    left = sites.select(*group, _kinds(False), *[F.col(c).alias("l_" + c) for c in cols])
+    right = sites.select(*group, _kinds(True), *[F.col(c).alias("r_" + c) for c in cols[:-2]])
+    far = lambda n: F.coalesce(F.col(n) != F.col("r_id"), F.lit(True))
+    fits = (F.col("l_id") != F.col("r_id")) & far("l_n3") & far("l_n5") & complementary(
+        F.col("l_type"), F.col("r_type"), F.col("l_base"), F.col("r_base")) & (
+        dot(F.col("l_a1"), F.col("r_a1")) < FACING)
+    return nearest(left, right, cutoff, "l_ns", "r_ns", [*group, "l_id"], fits, best, [*group, "_kind"]).select(
+        *group, F.col("l_id").alias("id"), "b.*")
+
+
+def _ranked(*fields: str) -> Column:
+    own = {"d": F.col("d"), "other": F.col("r_id"), "a1": dot(F.col("l_a1"), F.col("r_a1")),
+           "a2": dot(F.col("l_a2"), F.col("r_a2"))}
+    return F.struct(*[own[f].alias(f) for f in fields])
 
 
 def pairs_exact(sites: DataFrame, cutoff: float = EXACT, group: list[str] | None = None) -> DataFrame:
     """Each monomer's nearest candidate, ties by id: id, other, d."""
-    group = group or []
-    best = F.min(F.struct("d", "other"))
-    return candidates(sites, cutoff, group).groupBy(*group, "id").agg(best.alias("b")).select(
-        *group, "id", "b.other", "b.d")
+    return nearest_partner(sites, cutoff, _ranked("d", "other"), group).select(*(group or []), "id", "other", "d")
 
 
 def a2_score() -> Column:
@@ -65,9 +78,7 @@ def pairs_contest(sites: DataFrame, score: Column, cutoff: float = GRID,
     between free monomers, those that are shortest at both ends are pairs.
     """
     group = group or []
-    c = candidates(sites, cutoff, group)
-    near = c.groupBy(*group, "id").agg(F.min(F.struct("d", "a1", "other", "a2")).alias("b")).select(
-        *group, "id", "b.other", "b.d", "b.a1", "b.a2")
+    near = nearest_partner(sites, cutoff, _ranked("d", "a1", "other", "a2"), group)
     near = settle(near.withColumn("score", score))
     kept = near.groupBy(*group, F.col("other").alias("t")).agg(
         F.min_by("id", F.struct("score", "id")).alias("s"))
