@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from molframe.plans.ordered import dense_index, running
 from molframe.session import discard, settle
 
 
@@ -187,3 +188,39 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         label = settle(components(nodes, tree))
         left = open_edges.select("a", "b", *extra)
     return edges.limit(0) if tree is None else tree
+
+
+def euler_tour(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Walks around trees as lists of arcs: key, u, v, arc, tree (its first arc), pos (from 0), down.
+
+    ``edges``: key, a, b, each edge of a forest once; ``roots``: key, id, one node of each tree, where the
+    walk begins (a tree without one is walked from its smallest node). From u to v the walk goes on to the
+    neighbour of v after u, so the arcs are one list whose places ``rank`` finds in log rounds. ``down``
+    arcs lead away from the root: each node but the root is v of one of them.
+    """
+    ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                             F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("w")
+    arcs = settle(dense_index(edges.select("key", ways).select("key", "w.u", "w.v"), ["key", "u"], ["v"],
+                              "arc", "_k", "_n"))
+    back = arcs.select("key", F.col("v").alias("u"), F.col("u").alias("v"), F.col("arc").alias("rev"))
+    root = roots.select("key", F.col("id").alias("u"), F.lit(True).alias("_root"))
+    # before the arc from u comes the one that enters u from the neighbour before, in a circle but at the root
+    around = F.when(F.col("_k") > 0, F.col("arc") - 1).when(F.col("_root").isNull(), F.col("arc") + F.col("_n") - 1)
+    both = settle(arcs.join(back, ["key", "u", "v"]).join(root, ["key", "u"], "left").select(
+        "key", "u", "v", "arc", "rev", around.alias("_near")))
+    enters = both.select(F.col("arc").alias("_key"), F.col("rev").alias("n5"))
+    links = both.withColumn("_key", spread_nulls("_near", "arc")).join(enters, "_key", "left")
+    place = settle(rank(links.select(F.col("arc").alias("id"), "n5")).select(
+        F.col("id").alias("arc"), F.col("head").alias("tree"), "pos"))
+    home = place.select(F.col("arc").alias("rev"), F.col("pos").alias("_back"))
+    return both.join(place, "arc").join(home, "rev").select(
+        "key", "u", "v", "arc", "tree", "pos", (F.col("pos") < F.col("_back")).alias("down"))
+
+
+def sums_from_root(tour: DataFrame, value: Column, name: str) -> DataFrame:
+    """key, id, ``name``: ``value`` summed over the arcs of the way from the root to each other node.
+
+    ``value`` of an arc is minus that of its way back, so what the walk has left again adds up to nothing.
+    """
+    return running(tour, ["tree"], "pos", sums={name: value}).filter("down").select(
+        "key", F.col("v").alias("id"), name)
