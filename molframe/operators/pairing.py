@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from molframe.functions.geometry import dist, dot
+from molframe.functions.geometry import dist, dot, scale, sub
 from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
-from molframe.plans.spatial import cell_join, nearest
+from molframe.plans.spatial import HOT_CELL, cell_join, matrix, nearest, segment_cells
 from molframe.session import settle
 
 EXACT, GRID, FACING, SAME_A2, ANGSTROM = 0.6, 0.65, -0.85, 0.85, 8.518
@@ -275,41 +275,32 @@ def _segment_d2(u: Column, v: Column, w: Column) -> Column:
     ends = [end(w, v), end(plus(w, u), v), end(neg, u), end(plus(neg, v), u)]
     a, b, c, d, e = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
     det = a * c - b * b
-    s, t = (b * e - c * d) / det, (a * e - b * d) / det
+    s, t = F.try_divide(b * e - c * d, det), F.try_divide(a * e - b * d, det)
     inside = (det > 1e-12) & s.between(0.0, 1.0) & t.between(0.0, 1.0)
     cross_d2 = sum((w[x] + u[x] * s - v[x] * t) * (w[x] + u[x] * s - v[x] * t) for x in "xyz")
     return F.least(*ends, F.when(inside, cross_d2))
 
 
 def axis_candidates(ends: DataFrame, overlap: float = OVERLAP, length: float = CYLINDER,
-                    opposed: float = OPPOSED) -> DataFrame:
-    """Duplex ends whose axis cylinders overlap and point at each other: a < b, dot, dist.
+                    opposed: float = OPPOSED, hot_cell: int = HOT_CELL) -> DataFrame:
+    """Duplex ends whose axis cylinders overlap and point at each other: a < b, dot, dist (in Angstrom).
 
-    ``ends``: id, origin, dir (unit). Each axis is sampled at half the overlap distance, so that
-    only axes that pass near each other meet in a cell.
+    ``ends``: id, origin, dir (unit). An axis is at home in the cells that it goes through and looks into
+    those within ``overlap`` of its course, so two axes meet only where they pass near each other.
     """
-    step = overlap / 2
-    n = int(length / step) + 1
-    sampled = ends.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    share = F.least(F.col("_k") * step, F.lit(length))
-    at = F.named_struct(*[e for a in "xyz" for e in (
-        F.lit(a), F.col("origin")[a] + F.col("dir")[a] * share)])
-    s = sampled.withColumn("at", at)
-    side = lambda p: s.select(*[F.col(c).alias(p + c) for c in ("id", "at")])
-    near = cell_join(side("l_"), side("r_"), overlap + step, "l_at", "r_at").filter(
-        F.col("l_id") < F.col("r_id")).select(F.col("l_id").alias("a"),
-                                              F.col("r_id").alias("b")).distinct()
-    axis = F.named_struct(*[e for a in "xyz" for e in (F.lit(a), F.col("dir")[a] * length)])
-    full = ends.withColumn("axis", axis)
-    d = near.join(full.select(F.col("id").alias("a"), F.col("origin").alias("ao"),
-                              F.col("dir").alias("ad"), F.col("axis").alias("au")), "a").join(
-        full.select(F.col("id").alias("b"), F.col("origin").alias("bo"), F.col("dir").alias("bd"),
-                    F.col("axis").alias("bu")), "b")
-    w = F.named_struct(*[e for a in "xyz" for e in (F.lit(a), F.col("ao")[a] - F.col("bo")[a])])
-    d = d.withColumn("dot", dot(F.col("ad"), F.col("bd"))).filter(F.col("dot") < opposed)
-    d = d.withColumn("w", w)
-    close = _segment_d2(F.col("au"), F.col("bu"), F.col("w")) <= overlap * overlap
-    return d.filter(close).select("a", "b", "dot", dist(F.col("ao"), F.col("bo")).alias("dist"))
+    cell, keys = 2 * overlap, ["_cx", "_cy", "_cz"]
+
+    def side(s, reach):
+        own = ends.select(F.col("id").alias(s + "id"), F.col("origin").alias(s + "o"), F.col("dir").alias(s + "d"),
+                          scale(F.col("dir"), length).alias(s + "u"))
+        return segment_cells(own, s + "o", s + "u", reach, cell, keys)
+    probe, home, keys = matrix(side("l_", overlap), side("r_", 0.0), keys, hot_cell)
+    c = F.col
+    met = probe.join(home, keys).filter("l_id < r_id").withColumn("dot", dot(c("l_d"), c("r_d"))).filter(
+        c("dot") < opposed)
+    near = _segment_d2(c("l_u"), c("r_u"), sub(c("l_o"), c("r_o"))) <= overlap * overlap
+    return met.filter(near).select(c("l_id").alias("a"), c("r_id").alias("b"), "dot", (
+        dist(c("l_o"), c("r_o")) * ANGSTROM).alias("dist")).distinct()
 
 
 def one_to_one(candidates: DataFrame, key: str = "dot") -> DataFrame:

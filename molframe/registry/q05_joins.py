@@ -257,7 +257,41 @@ def _(spark, sf):
         P.forces_touching(forces, ids).withColumn("side", F.lit("touching")))
 
 
-@query("jn_axis_overlap")
+def _apart(s, t):
+    """Squared distance of the points at shares ``s`` and ``t`` of two segments with w between their origins."""
+    return " + ".join(f"power(w{a} + ({s}) * u{a} - ({t}) * v{a}, 2)" for a in "xyz")
+
+
+def _share(x):
+    return f"least(greatest({x}, 0.0), 1.0)"
+
+
+def _dots(p, q):
+    return " + ".join(f"{p}{a} * {q}{a}" for a in "xyz")
+
+
+LENGTH = f"{P.CYLINDER!r}::DOUBLE"
+
+
+# the closest points lie at an end of a segment or where the lines come closest; pairs go in order of dot
+@query("jn_axis_overlap", f"""WITH RECURSIVE two AS (SELECT a.id AS a, b.id AS b,
+    a.a1x*b.a1x + a.a1y*b.a1y + a.a1z*b.a1z AS dot, (a.x - b.x) * 40 AS wx, (a.y - b.y) * 40 AS wy,
+    (a.z - b.z) * 40 AS wz, a.a1x * {LENGTH} AS ux, a.a1y * {LENGTH} AS uy, a.a1z * {LENGTH} AS uz,
+    b.a1x * {LENGTH} AS vx, b.a1y * {LENGTH} AS vy, b.a1z * {LENGTH} AS vz
+    FROM pts a JOIN pts b ON a.id < b.id WHERE a.a1x*b.a1x + a.a1y*b.a1y + a.a1z*b.a1z < -0.9),
+    pr AS (SELECT *, {_dots('u', 'u')} AS uu, {_dots('u', 'v')} AS uv, {_dots('v', 'v')} AS vv,
+    {_dots('u', 'w')} AS uw, {_dots('v', 'w')} AS vw FROM two),
+    ln AS (SELECT *, (uv * vw - vv * uw) / (uu * vv - uv * uv) AS s, (uu * vw - uv * uw) / (uu * vv - uv * uv) AS t
+    FROM pr), d AS (SELECT a, b, dot, sqrt(wx * wx + wy * wy + wz * wz) * 8.518 AS dist, least(
+    {_apart('0', _share('vw / vv'))}, {_apart('1', _share('(vw + uv) / vv'))},
+    {_apart(_share('-uw / uu'), '0')}, {_apart(_share('(uv - uw) / uu'), '1')},
+    CASE WHEN s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1 THEN {_apart('s', 't')} END) AS d2 FROM ln),
+    c AS (SELECT a, b, dot, dist, row_number() OVER (ORDER BY dot, a, b) AS k FROM d
+    WHERE d2 <= power({P.OVERLAP!r}::DOUBLE, 2)),
+    g(k, used, won) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT c.k,
+    CASE WHEN list_has_any(used, [a, b]) THEN used ELSE list_concat(used, [a, b]) END,
+    NOT list_has_any(used, [a, b]) FROM g JOIN c ON c.k = g.k + 1)
+    SELECT a, b, {r4('dot')} AS dot, {r4('dist')} AS dist FROM c JOIN g USING (k) WHERE won""")
 def _(spark, sf):
     p = A.points(spark, sf)
     ends = p.select("id", scale(C("p"), 40.0).alias("origin"), C("a1").alias("dir"))
