@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from molframe.functions.geometry import dist, dot, scale, sub
+from molframe.functions.geometry import dist, dist2, dot, scale
 from molframe.plans.graph import spread_nulls
 from molframe.plans.ordered import dense_index
 from molframe.plans.spatial import HOT_CELL, cell_join, matrix, nearest, segment_cells
@@ -260,25 +260,23 @@ def merge_edges(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
 OVERLAP, CYLINDER, OPPOSED = 25 / ANGSTROM, 50 / ANGSTROM, -0.9
 
 
-def _segment_d2(u: Column, v: Column, w: Column) -> Column:
-    """Squared distance of segments A + s u and B + t v (0 <= s, t <= 1) with w = A - B.
+def _segment_d2(uu: Column, uv: Column, vv: Column, uw: Column, vw: Column, ww: Column) -> Column:
+    """Squared distance of segments A + s u and B + t v (0 <= s, t <= 1) from products, with w = A - B.
 
     The least of the two ends of each segment against the other one and, where it lies inside
     both, the point of closest approach of the lines.
     """
-    def end(e: Column, axis: Column) -> Column:
-        t = F.least(F.greatest(dot(e, axis) / dot(axis, axis), F.lit(0.0)), F.lit(1.0))
-        return sum((e[a] - axis[a] * t) * (e[a] - axis[a] * t) for a in "xyz")
-
-    plus = lambda p, q, k=1.0: F.struct(*[(p[a] + q[a] * k).alias(a) for a in "xyz"])
-    neg = F.struct(*[(-w[a]).alias(a) for a in "xyz"])
-    ends = [end(w, v), end(plus(w, u), v), end(neg, u), end(plus(neg, v), u)]
-    a, b, c, d, e = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
-    det = a * c - b * b
-    s, t = F.try_divide(b * e - c * d, det), F.try_divide(a * e - b * d, det)
+    def end(start: Column, q: Column, axis: Column) -> Column:
+        t = F.least(F.greatest(q / axis, F.lit(0.0)), F.lit(1.0))
+        return start + t * (t * axis - 2 * q)
+
+    ends = [end(ww, vw, vv), end(ww + uu + 2 * uw, vw + uv, vv),
+            end(ww, -uw, uu), end(ww + vv - 2 * vw, uv - uw, uu)]
+    det = uu * vv - uv * uv
+    s, t = F.try_divide(uv * vw - vv * uw, det), F.try_divide(uu * vw - uv * uw, det)
     inside = (det > 1e-12) & s.between(0.0, 1.0) & t.between(0.0, 1.0)
-    cross_d2 = sum((w[x] + u[x] * s - v[x] * t) * (w[x] + u[x] * s - v[x] * t) for x in "xyz")
-    return F.least(*ends, F.when(inside, cross_d2))
+    # at that point the line from A to B is at right angles to both
+    return F.least(*ends, F.when(inside, ww + s * uw - t * vw))
 
 
 def axis_candidates(ends: DataFrame, overlap: float = OVERLAP, length: float = CYLINDER,
@@ -291,15 +289,17 @@ def axis_candidates(ends: DataFrame, overlap: float = OVERLAP, length: float = C
     cell, keys = 2 * overlap, ["_cx", "_cy", "_cz"]
 
     def side(s, reach):
+        u = scale(F.col("dir"), length)
         own = ends.select(F.col("id").alias(s + "id"), F.col("origin").alias(s + "o"), F.col("dir").alias(s + "d"),
-                          scale(F.col("dir"), length).alias(s + "u"))
+                          u.alias(s + "u"), dot(u, u).alias(s + "uu"), dot(u, F.col("origin")).alias(s + "uo"))
         return segment_cells(own, s + "o", s + "u", reach, cell, keys)
     probe, home, keys = matrix(side("l_", overlap), side("r_", 0.0), keys, hot_cell)
     c = F.col
     met = probe.join(home, keys).filter("l_id < r_id").withColumn("dot", dot(c("l_d"), c("r_d"))).filter(
         c("dot") < opposed)
-    near = _segment_d2(c("l_u"), c("r_u"), sub(c("l_o"), c("r_o"))) <= overlap * overlap
-    return met.filter(near).select(c("l_id").alias("a"), c("r_id").alias("b"), "dot", (
+    near = _segment_d2(c("l_uu"), dot(c("l_u"), c("r_u")), c("r_uu"), c("l_uo") - dot(c("l_u"), c("r_o")),
+                       dot(c("r_u"), c("l_o")) - c("r_uo"), dist2(c("l_o"), c("r_o")))
+    return met.filter(near <= overlap * overlap).select(c("l_id").alias("a"), c("r_id").alias("b"), "dot", (
         dist(c("l_o"), c("r_o")) * ANGSTROM).alias("dist")).distinct()
 
 
