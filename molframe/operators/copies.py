@@ -15,24 +15,26 @@ def copy_remap(mono: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame
     ``mono``: id, strand, cluster, n3, n5, bp; ``chosen``: id. Copies get fresh ids above the
     largest; links and pairs inside the copy are remapped. A link that leaves the copy is kept
     as a ligation if the monomer outside has that end open, a pair if it is free; else dropped.
+    Tables of one row per monomer are small as files and large in memory, so their joins never broadcast.
     """
     top = mono.agg(F.max("id").alias("m")).scalar()
     new = dense_index(chosen.select(F.col("id").alias("old")).distinct(), [], ["old"], "_g", "_k")
     new = new.select("old", F.col("_k").alias("_k"))
-    src = mono.join(new.withColumnRenamed("old", "id"), "id")
+    src = mono.join(new.withColumnRenamed("old", "id").hint("merge"), "id")
     last = mono.agg(F.max("cluster").alias("m")).scalar()
     groups = dense_index(src.filter(F.col("cluster") > 0).select("cluster").distinct(), [],
                          ["cluster"], "_g", "_c").select("cluster", "_c")
     src = src.withColumn("_key", spread_nulls("cluster", "id")).join(
-        groups.withColumnRenamed("cluster", "_key"), "_key", "left").drop("_key")
+        groups.withColumnRenamed("cluster", "_key").hint("merge"), "_key", "left").drop("_key")
     # monomers outside that could take a link or a pair
     outer = mono.select("id", F.col("n5").isNull().alias("_o5"), F.col("n3").isNull().alias("_o3"),
                         F.col("bp").isNull().alias("_ob"))
     for c, free in (("n3", "_o5"), ("n5", "_o3"), ("bp", "_ob")):
         src = src.withColumn("_key", spread_nulls(c, "id"))
-        src = src.join(new.select(F.col("old").alias("_key"), F.col("_k").alias(f"_in_{c}")), "_key", "left")
-        src = src.join(outer.select(F.col("id").alias("_key"), F.col(free).alias(f"_open_{c}")), "_key",
-                       "left").drop("_key")
+        src = src.join(new.select(F.col("old").alias("_key"), F.col("_k").alias(f"_in_{c}")).hint(
+            "merge"), "_key", "left")
+        src = src.join(outer.select(F.col("id").alias("_key"), F.col(free).alias(f"_open_{c}")).hint(
+            "merge"), "_key", "left").drop("_key")
     fresh = lambda k: top + 1 + F.col(k)
     s = src.withColumn("_new", fresh("_k"))
     outside = lambda c: F.when(F.col(f"_in_{c}").isNull() & F.col(f"_open_{c}"), F.col(c))

@@ -29,9 +29,9 @@ def _(spark, sf):
     m = A.monomers(spark, sf).select(
         "id", "strand", "cluster", "n3", F.when(C("id") % 11 != 0, C("n5")).alias("n5"), "bp", "color")
     out, lig = G.copy_remap(m.drop("color"), m.filter(C("color") == 3).select("id"))
-    copies = out.join(m.select("id"), "id", "left_anti")
+    copies = out.join(m.select("id").hint("merge"), "id", "left_anti")
     lig = lig.select("id", C("n3").alias("join3"), C("n5").alias("join5"))
-    return copies.join(lig, "id", "left")
+    return copies.join(lig.hint("merge"), "id", "left")
 
 
 @query("set_lattice_copies", f"""WITH t AS (SELECT max(id) + 1 AS n FROM sites)
