@@ -15,12 +15,13 @@ from molframe.streaming import frames as S
 C = F.col
 
 
-#: Lines of one piece of the landed trajectory: frames go over the borders of pieces.
-PIECE = 500
+#: Fewest lines of one piece of the landed trajectory (frames go over the borders of pieces), and most pieces:
+#: those of a longer trajectory are longer, as a writer that fills its files would leave them.
+PIECE, PIECES = 500, 100
 
 
 def landing(spark, sf) -> str:
-    """Every frame of the coordinates as lines of one trajectory, cut into pieces of ``PIECE`` lines.
+    """Every frame of the coordinates as lines of one trajectory, cut into pieces of ``PIECE`` lines or more.
 
     A last piece with the header of one more frame, without monomers, ends the frame before it.
     """
@@ -34,7 +35,8 @@ def landing(spark, sf) -> str:
     lines = heads.unionByName(c.select("frame", (C("row") + 3).alias("row"), line.alias("line")))
     lines = dense_index(lines, [], ["frame", "row"], "_g", "pos")
     path = new_folder(spark, "landing")
-    (lines.select(F.lit("run").alias("file"), F.floor(C("pos") / PIECE).alias("piece"), "pos", "line")
+    size = max(PIECE, -(-lines.count() // PIECES))
+    (lines.select(F.lit("run").alias("file"), F.floor(C("pos") / size).alias("piece"), "pos", "line")
      .repartition("piece").sortWithinPartitions("piece", "pos").drop("pos")
      .write.partitionBy("file", "piece").text(path))
     return path
