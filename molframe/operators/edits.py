@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from molframe.functions.geometry import add, cross, dot, mean, rotate, scale, sub, unit, vec
 from molframe.functions.nucleic import backbone_site, complement
 from molframe.plans.graph import rank, spread_nulls
-from molframe.plans.ordered import dense_index, neighbours, running
+from molframe.plans.ordered import dense_index, few_or_merged, neighbours, running
+from molframe.session import materialise
 
 # Fixed values of ideal helices: turn per step (radians), rise per step, distances.
 DNA_TURN, DNA_RISE, DNA_CENTRE = 35.9 * math.pi / 180, 0.3897628551303122, 0.6
@@ -34,7 +35,8 @@ def split_strands(mono: DataFrame, starts: Column, order: str = "pos") -> DataFr
                 lasts={"_at": F.when(F.col("_new"), F.col("_k"))})
     later = d.filter(F.col("_piece") > 1).select("strand", "_piece").distinct()
     fresh = dense_index(later, [], ["strand", "_piece"], "_g", "_n").select("strand", "_piece", "_n")
-    top = mono.agg(F.max("strand").alias("m")).scalar()
+    # from the stored rows, not by another run of what made ``mono``
+    top = d.agg(F.max("strand").alias("m")).scalar()
     out = d.join(fresh, ["strand", "_piece"], "left")
     return out.withColumns({
         "piece": F.col("_piece") - 1, "pos": F.col("_k") - F.col("_at"),
@@ -51,7 +53,7 @@ def _opened(mono: DataFrame, cuts: DataFrame) -> DataFrame:
                                    F.count(F.lit(1)).alias("_len"))
     at = mono.join(cuts.select("id").distinct(), "id", "left_semi").groupBy("strand").agg(
         F.min("pos").alias("_cut"))
-    d = mono.join(s, "strand").join(at, "strand", "left")
+    d = mono.join(few_or_merged(materialise(s.join(at, "strand", "left"), "opened")), "strand")
     turned = F.pmod(F.col("pos") - F.col("_cut") - 1, F.col("_len"))
     return d.withColumn("_order", F.when(F.col("_circ") & F.col("_cut").isNotNull(), turned)
                         .otherwise(F.col("pos"))).drop("_circ", "_len", "_cut")
@@ -98,15 +100,23 @@ def ligate(mono: DataFrame, joints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, j.filter(~ok).select("a", "b")
 
 
+def _unlinked(d: DataFrame, gone: DataFrame, links: list[str]) -> DataFrame:
+    """``d`` without the ids of ``gone``, and null in ``links`` that lead to them.
+
+    Links are looked up as (id, link) alone, so whole rows are shuffled once, by id.
+    """
+    refs = d.select("id", F.posexplode(F.array(*links)).alias("_which", "_key")).filter("_key IS NOT NULL")
+    lost = refs.join(gone.select(F.col("id").alias("_key")), "_key", "left_semi").groupBy("id").agg(
+        *[F.max(F.col("_which") == i).alias(f"_lost_{c}") for i, c in enumerate(links)])
+    d = d.join(gone, "id", "left_anti").join(lost, "id", "left")
+    return d.withColumns({c: F.when(~F.coalesce(f"_lost_{c}", F.lit(False)), F.col(c)) for c in links}).drop(
+        *[f"_lost_{c}" for c in links])
+
+
 def delete(mono: DataFrame, gone: DataFrame) -> DataFrame:
     """Remove monomers; strands split around them, links and pairs to them go."""
     g = gone.select("id").distinct()
-    d = _opened(mono, g)
-    d = d.join(g, "id", "left_anti")
-    for c in ("n3", "n5", "bp"):
-        lost = g.select(F.col("id").alias("_key"), F.lit(True).alias("_lost"))
-        d = d.withColumn("_key", spread_nulls(c, "id")).join(lost, "_key", "left").withColumn(
-            c, F.when(F.col("_lost").isNull(), F.col(c))).drop("_lost", "_key")
+    d = _unlinked(_opened(mono, g), g, ["n3", "n5", "bp"])
     return split_strands(d, F.col("n5").isNull(), "_order").drop("_order")
 
 

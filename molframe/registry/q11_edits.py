@@ -80,7 +80,7 @@ def _(spark, sf):
     CASE WHEN bp % 40 NOT IN (3, 4) THEN bp END AS bp FROM q""")
 def _(spark, sf):
     m = A.circles(spark, sf)
-    return E.delete(m, m.filter((C("id") % 40).isin(3, 4))).select(*OUT, "bp")
+    return E.delete(m.select(*OUT, "bp"), m.filter((C("id") % 40).isin(3, 4))).select(*OUT, "bp")
 
 
 @query("edt_skip", """WITH k AS (SELECT * EXCLUDE (pos), row_number() OVER w - 1 AS pos,
