@@ -8,7 +8,7 @@ each chunk. A group that holds a third of all rows is thus spread over many task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from molframe.session import materialise
 
@@ -16,6 +16,14 @@ CHUNK = 1 << 16
 #: Rows of a few numbers that a broadcast holds in some 50 MB.
 FEW_ROWS = 500_000
 
+#: Rows that one task sorts.
+TASK_ROWS = 500_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions of at most ``TASK_ROWS`` rows, which a task sorts in memory."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
 
 def few_or_merged(table: DataFrame) -> DataFrame:
     """A stored table as one side of a join: broadcast by its count, as files tell little of the size in memory."""
@@ -77,14 +85,17 @@ def neighbours(df: DataFrame, group: list[str], pos: str, outs: dict[str, tuple[
 
 
 def running(df: DataFrame, group: list[str], pos: str, sums: dict[str, Column] | None = None,
-            lasts: dict[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:
+            lasts: dict[str, Column] | None = None, chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
     """Inclusive running sums and last non-null values along a dense position.
 
     Scan inside each chunk, then the exclusive scan over chunk totals (one row per chunk) is
-    joined back. ``chunk`` bounds the rows one window holds.
+    joined back. ``chunk`` bounds the rows one window holds; ``parts`` is the number of tasks that share
+    the chunks, the session's shuffle partitions without it.
     """
     sums, lasts = sums or {}, lasts or {}
     here = df.withColumn("_chunk", chunk_of(F.col(pos), chunk))
+    if parts:
+        here = here.repartition(parts, *group, "_chunk")
     w = (W.partitionBy(*group, "_chunk").orderBy(pos)
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     scanned = here
@@ -111,6 +122,6 @@ def running(df: DataFrame, group: list[str], pos: str, sums: dict[str, Column] |
 
 
 def islands(df: DataFrame, group: list[str], pos: str, starts: Column, name: str = "island",
-            chunk: int = CHUNK) -> DataFrame:
+            chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
     """Number the runs that begin wherever ``starts`` is true."""
-    return running(df, group, pos, sums={name: F.when(starts, 1).otherwise(0)}, chunk=chunk)
+    return running(df, group, pos, sums={name: F.when(starts, 1).otherwise(0)}, chunk=chunk, parts=parts)

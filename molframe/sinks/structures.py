@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from molframe.functions.geometry import scale
 from molframe.functions.nucleic import NM, backbone_site, base_site
 from molframe.operators.sequences import PART, sequences
-from molframe.plans.ordered import dense_index, running
+from molframe.plans.ordered import dense_index, parts_for, running
 from molframe.session import settle
 from molframe.sinks.lines import with_header
 from molframe.sinks.long_lines import as_parts
@@ -223,13 +223,16 @@ def _vector(v: Column) -> Column:
     return F.array(v["x"], v["y"], v["z"])
 
 
-def nested_lines(parts: list[DataFrame]) -> DataFrame:
-    """Lines of a nested document: each part has file, k1, k2, k3 (sort keys) and line."""
+def nested_lines(parts: list[DataFrame], rows: int) -> DataFrame:
+    """Lines of a nested document: each part has file, k1, k2, k3 (sort keys) and line.
+
+    ``rows``: about how many there are, so that a task sorts no more of them where the document is larger.
+    """
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return dense_index(out, ["file"], ["k1", "k2", "k3"], "_g", "line_no").select(
-        "file", "line_no", "line")
+    return dense_index(out, ["file"], ["k1", "k2", "k3"], "_g", "line_no", parts=parts_for(
+        out.sparkSession, rows)).select("file", "line_no", "line")
 
 
 def _keyed(df: DataFrame, k1, k2, k3, line: Column) -> DataFrame:
@@ -273,7 +276,7 @@ def design_json(mono: DataFrame, box: float, forces: DataFrame | None = None) ->
         top = forces.groupBy("structure").agg(F.max("ord").alias("_top"))
         parts.append(_keyed(forces.join(top, "structure"), END, 1, F.col("ord"), F.concat(
             "json", F.when(F.col("ord") < F.col("_top"), ",").otherwise(""))))
-    return nested_lines(parts)
+    return nested_lines(parts, mono.count() + (forces.count() if forces is not None else 0))
 
 
 def unf_json(mono: DataFrame, box: float) -> DataFrame:
@@ -338,7 +341,9 @@ def unf_json(mono: DataFrame, box: float) -> DataFrame:
         F.lit("]}"), F.when(F.col("cluster") < F.col("_last"), ",").otherwise("")))
     finish = _keyed(one, 3 * END, 0, 0, F.lit(
         '],"connections":[],"modifications":[],"misc":{}}'))
-    return nested_lines([head, opening, body, closing, mid, tail, g_open, g_body, g_close, finish])
+    # a line for each monomer, and one for its place in a group
+    return nested_lines([head, opening, body, closing, mid, tail, g_open, g_body, g_close, finish],
+                        used.count() + groups.count())
 
 
 def forces_text(mono: DataFrame, forces: DataFrame, new_format: bool = True
