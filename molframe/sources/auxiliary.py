@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molframe.operators.residues import PROTEIN
-from molframe.plans.ordered import dense_index, running
+from molframe.plans.ordered import dense_index, parts_for, running
 from molframe.sinks.long_lines import BLOCK, RANGE, read_pieces
 from molframe.sources.lines import blocks, fields, number, read_lines, whole
 
@@ -17,16 +17,18 @@ def read_forces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = read_lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
     # a block starts at {; several blocks on one line are split first
     pieces = lines.select("file", "line_no", F.posexplode(F.split("line", "(?=\\{)")).alias("k", "line"))
+    # tasks by lines, so that none sorts or groups more of them in a larger file
+    parts = parts_for(spark, spark.read.text(path).count())
     b = blocks(dense_index(pieces.filter(F.col("line") != ""), ["file"], ["line_no", "k"], "_g",
-                           "_pos").drop("line_no").withColumnRenamed("_pos", "line_no"),
-               ["file"], F.contains("line", F.lit("{")))
+                           "_pos", parts=parts).drop("line_no").withColumnRenamed("_pos", "line_no"),
+               ["file"], F.contains("line", F.lit("{")), parts=parts)
     pair = F.split(F.regexp_replace("line", "[{}]", ""), "=", 2)
     kv = (b.select("file", "block", F.trim(F.get(pair, F.lit(0))).alias("key"),
                    F.trim(F.get(pair, F.lit(1))).alias("value"))
           .filter((F.col("key") != "") & F.col("value").isNotNull()))
     rest = F.map_from_entries(F.array_sort(F.collect_set(F.when(
         F.col("key") != "type", F.struct("key", "value")))))
-    forces = kv.groupBy("file", "block").agg(
+    forces = kv.repartition(parts, "file", "block").groupBy("file", "block").agg(
         F.max(F.when(F.col("key") == "type", F.col("value"))).alias("type"), rest.alias("kw"))
     known = F.coalesce(F.col("type").isin(*FORCE_TYPES), F.lit(False))
     return forces.filter(known), forces.filter(~known)

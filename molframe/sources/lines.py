@@ -72,7 +72,8 @@ def whole(value: Column) -> Column:
     return value.try_cast("bigint")
 
 
-def blocks(lines: DataFrame, group: list[str], starts: Column, name: str = "block") -> DataFrame:
+def blocks(lines: DataFrame, group: list[str], starts: Column, name: str = "block",
+           parts: int | None = None) -> DataFrame:
     """Number the blocks of lines that begin where ``starts`` holds; lines before the first get 0."""
     from molframe.plans.ordered import islands
-    return islands(lines, group, "line_no", starts, name)
+    return islands(lines, group, "line_no", starts, name, parts=parts)
