@@ -72,7 +72,7 @@ NEW = "coalesce((SELECT max(strand) FROM mono) + n, strand) AS strand, np AS pos
     CASE WHEN id % 50 <> 7 THEN n3 END AS n3, c5 AS n5 FROM q""")
 def _(spark, sf):
     m = A.circles(spark, sf)
-    return E.nick(m, m.filter(C("id") % 50 == 7)).select(*OUT)
+    return E.nick(m.select(*OUT), m.filter(C("id") % 50 == 7)).select(*OUT)
 
 
 @query("edt_delete", pieces("id % 40 IN (3, 4)", "n5 % 40 IN (3, 4)", "id % 40 NOT IN (3, 4)") + f"""
