@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from molframe.functions.geometry import scale
 from molframe.functions.nucleic import NM, backbone_site, base_site
 from molframe.operators.sequences import PART, sequences
-from molframe.plans.ordered import dense_index, parts_for, running
+from molframe.plans.ordered import dense_index, few_or_merged, parts_for, running
 from molframe.session import settle
 from molframe.sinks.lines import with_header
 from molframe.sinks.long_lines import as_parts
@@ -89,26 +89,32 @@ def topology_old(mono: DataFrame) -> DataFrame:
     own, where ``mono`` has ``connections``.
     """
     mono = mono.join(mixed_structures(mono), "structure", "left_anti")
-    new = settle(renumber(mono, False))  # used by five joins
-    link = lambda c: new.select("structure", F.col("id").alias(c), F.col("new_id").alias("_" + c))
-    d = (mono.join(new, ["structure", "id"]).join(link("n3"), ["structure", "n3"], "left")
-         .join(link("n5"), ["structure", "n5"], "left"))
+    new = settle(renumber(mono, False))
+    spark, keys = mono.sparkSession, ["structure", "id"]
+    parts = parts_for(spark, new.count())
+    found = new.select("structure", F.col("id").alias("_to"), F.col("new_id").alias("_new")).repartition(
+        parts, "structure", "_to")
+    # links and bonds are looked up as ids, so whole rows are shuffled once
+    linked = [F.struct(F.lit(c).alias("k"), F.col(c).alias("to")) for c in ("n3", "n5")]
+    refs = mono.select(*keys, F.explode(F.array(*linked)).alias("r"))
+    if "connections" in mono.columns:
+        refs = refs.unionByName(mono.filter(F.col("class").isin("peptide", "sphere")).select(*keys, F.explode(
+            F.transform("connections", lambda to: F.struct(F.lit("bond").alias("k"), to.alias("to")))).alias("r")))
+    refs = refs.filter("r.to IS NOT NULL").select(*keys, F.col("r.k").alias("_k"), F.col("r.to").alias("_to"))
+    met = refs.repartition(parts, "structure", "_to").join(found.hint("merge"), ["structure", "_to"]).select(
+        *keys, "_k", "_new")
+    own = lambda k: F.max(F.when(F.col("_k") == k, F.col("_new")))
+    met = settle(met.repartition(parts, *keys).groupBy(*keys).agg(
+        own("n3").alias("_n3"), own("n5").alias("_n5"), F.collect_list(F.when(
+            F.col("_k") == "bond", F.col("_new"))).alias("_to")))
+    d = mono.join(new, keys).join(met, keys, "left")
     kind = F.col("base")
     if "mass" in mono.columns:
-        d = d.join(sphere_subtypes(mono).drop("radius"), ["structure", "mass"], "left")
+        # few masses beside their spheres
+        d = d.join(few_or_merged(settle(sphere_subtypes(mono).drop("radius"))), ["structure", "mass"], "left")
         kind = F.when(F.col("class") == "sphere", F.concat(F.lit("gs"), "subtype")).otherwise(kind)
-    tail = F.lit(None).cast("string")
-    if "connections" in mono.columns:
-        bonds = (mono.filter(F.col("class").isin("peptide", "sphere"))
-                 .select("structure", "id", F.explode("connections").alias("to"))
-                 .join(link("to"), ["structure", "to"]).select("structure", "id", "_to"))
-        bonds = bonds.join(d.select("structure", "id", "new_id", "_n5"), ["structure", "id"]).filter(
-            (F.col("_to") > F.col("new_id")) & (F.col("_to") != F.coalesce("_n5", F.lit(-1))))
-        bonds = bonds.groupBy("structure", "id").agg(F.array_join(
-            F.transform(F.array_sort(F.collect_list("_to")), lambda x: x.cast("string")), " ")
-            .alias("_bonds"))
-        d = d.join(bonds, ["structure", "id"], "left")
-        tail = F.col("_bonds")
+    bonds = F.filter("_to", lambda x: (x > F.col("new_id")) & (x != F.coalesce("_n5", F.lit(-1))))
+    tail = F.nullif(F.array_join(F.transform(F.array_sort(bonds), lambda x: x.cast("string")), " "), F.lit(""))
     rows = d.select(F.col("structure").alias("file"), F.col("new_id").alias("line_no"), F.concat_ws(
         " ", "new_strand", kind, F.coalesce("_n3", F.lit(-1)), F.coalesce("_n5", F.lit(-1)), tail)
         .alias("line"))
