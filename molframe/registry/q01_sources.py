@@ -11,6 +11,7 @@ from molframe.registry.core import query, r4
 from molframe.registry.files import written, written_parts
 from molframe.registry.q02_sinks import FLUX, WIDTH, bonds, flux_series, keyword_data, trap_json
 from molframe.sinks import structures as X
+from molframe.session import materialise
 from molframe.sinks.long_lines import as_parts
 from molframe.sources import auxiliary as U, json_files as J, pdb as B, topology as T, trajectory as Y
 from molframe.sources.lines import read_lines
@@ -44,9 +45,11 @@ def single(df: DataFrame, file, keys: list[int], line) -> DataFrame:
     LEFT JOIN newid n5 ON n5.id = e.n5 UNION ALL SELECT structure, sum(len), NULL, NULL, NULL, NULL,
     0, NULL, '7 A' FROM strands GROUP BY structure""")
 def _(spark, sf):
-    top = X.topology_old(A.exported(spark, sf))
-    bad = top.groupBy("file").agg((F.max("line_no") + 1).alias("line_no"), F.lit("7 A").alias("line"))
-    d = T.read_old(spark, written(top.unionByName(bad)))
+    def text():
+        top = materialise(X.topology_old(A.exported(spark, sf)), "lines")
+        bad = top.groupBy("file").agg((F.max("line_no") + 1).alias("line_no"), F.lit("7 A").alias("line"))
+        return top.unionByName(bad)
+    d = T.read_old(spark, written(text))
     # a corrupt row has no class of its own
     return d.select("file", "id", "strand", "base", "n3", "n5",
                     F.greatest(F.size("connections"), F.lit(0)).alias("n_bonds"),
@@ -84,9 +87,8 @@ def patchy(spark, sf):
     SELECT DISTINCT p_brand || '-' || (p_partkey // 1000), 'patchy' FROM part""")
 def _(spark, sf):
     e = A.exported(spark, sf)
-    new = X.topology_new(e).withColumn("file", F.concat(F.lit("new-"), "file"))
-    everything = as_parts(X.topology_old(e)).unionByName(new).unionByName(as_parts(patchy(spark, sf)))
-    return T.detect(spark, written_parts(everything))
+    new = lambda: X.topology_new(e).withColumn("file", F.concat(F.lit("new-"), "file"))
+    return T.detect(spark, written_parts(lambda: as_parts(X.topology_old(e)), new, lambda: as_parts(patchy(spark, sf))))
 
 
 @query("src_patchy_topology", """SELECT p_brand || '-' || (p_partkey // 1000) AS file, 'plain' AS variant, row_number() OVER (
@@ -199,7 +201,7 @@ def _(spark, sf):
     WHERE class <> 'sphere'""")
 def _(spark, sf):
     m = A.monomers(spark, sf).filter(C("class") != "sphere")
-    path = written(X.design_json(m, 100.0, trap_json(spark, sf)), ".json")
+    path = written(lambda: X.design_json(m, 100.0, trap_json(spark, sf)), ".json")
     d = J.read_design(spark, path)
     return d.select("file", "system", "strand", "pos", "id", "base", "class", "n3", "n5", "bp",
                     "cluster", "color", r(C("p.x"), 6).alias("x"), C("a1.x").alias("a1_x"),
@@ -210,7 +212,7 @@ def _(spark, sf):
     n3, n5, bp, {r4('px', 6)} AS x, {r4('py', 6)} AS y, {r4('pz', 6)} AS z FROM mono
     WHERE class <> 'sphere'""")
 def _(spark, sf):
-    d = J.read_unf(spark, written(X.unf_json(A.monomers(spark, sf), 100.0), ".unf"))
+    d = J.read_unf(spark, written(lambda: X.unf_json(A.monomers(spark, sf), 100.0), ".unf"))
     return d.select("file", "system", "strand", "pos", "id", "base", "class", "n3", "n5", "bp",
                     *flat(C("p"), "", 6))
 
@@ -257,8 +259,8 @@ def _(spark, sf):
         '","position":[1,0,0],"orientation":[0,0,0],"virtualHelices":[')).alias("line"))
     finish = c.select("file").distinct().select("file", *key(99, 0, 0, 0),
                                                 F.lit("]}]}").alias("line"))
-    doc = lines(body, f, [h, F.lit(1), k, C("strand") * 1000000000 + C("part")], F.concat(comma, cell),
-                [opening, closing, start, finish])
+    doc = lambda: lines(body, f, [h, F.lit(1), k, C("strand") * 1000000000 + C("part")], F.concat(comma, cell),
+                        [opening, closing, start, finish])
     d = J.read_lattice(spark, written(doc, ".unf"))
     return d.select("file", "id", *flat(C("p"), "", 3), r(C("a1.x"), 3).alias("a1_x"),
                     C("a3.z").alias("a3_z"))
@@ -385,7 +387,7 @@ def _(spark, sf):
     blocks += block(m.filter(C("pos") < 5), 2, "Arrows", vector(
         C("pos"), *[F.lit(i) for i in range(1, 6)]))
     short = single(m, f, [3, 0, 0], F.lit(',"Short": [1,2,3]}'))
-    start = lines(m.limit(0), f, [F.lit(0), F.lit(0), C("id")], F.lit(""), blocks + [short])
+    start = lambda: lines(m.limit(0), f, [F.lit(0), F.lit(0), C("id")], F.lit(""), blocks + [short])
     sizes = m.groupBy(f.alias("file")).agg(F.count(F.lit(1)).alias("n_monomers"))
     values, bad = J.read_overlay(spark, written(start, ".json"), sizes)
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
@@ -469,7 +471,7 @@ def _(spark, sf):
     ((5 * n - 1 - pos) // 2) * 3 + (5 * n - 1 - pos) % 2 END AS partner FROM b""")
 def _(spark, sf):
     b = A.brackets(spark, sf)
-    path = written(lines(b, F.lit("brackets"), [C("id")], C("notation")))
+    path = written(lambda: lines(b, F.lit("brackets"), [C("id")], C("notation")))
     notation = read_lines(spark, path).select(C("line_no").alias("id"), C("line").alias("notation"))
     pairs, _errors = U.bracket_partners(notation)
     return pairs.select("id", C("pos").cast("bigint").alias("pos"),

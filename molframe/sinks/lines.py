@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from molframe.session import shuffles_deleted
+
 
 def write_lines(lines: DataFrame, path: str, suffix: str = ".txt") -> None:
     """Write each file as ordered part files under ``path/file=<name>/``.
@@ -11,10 +13,11 @@ def write_lines(lines: DataFrame, path: str, suffix: str = ".txt") -> None:
     Rows are range-partitioned by (file, line_no): a large file becomes several parts whose
     names sort in line order, so reading or concatenating them by name gives the file.
     """
-    (lines.select("file", "line_no", "line")
-     .repartitionByRange("file", "line_no")
-     .sortWithinPartitions("file", "line_no").select("file", "line")
-     .write.partitionBy("file").option("fileExtension", suffix.lstrip(".")).text(path))
+    with shuffles_deleted(lines.sparkSession):
+        (lines.select("file", "line_no", "line")
+         .repartitionByRange("file", "line_no")
+         .sortWithinPartitions("file", "line_no").select("file", "line")
+         .write.partitionBy("file").option("fileExtension", suffix.lstrip(".")).text(path))
 
 
 def with_header(header: DataFrame, rows: DataFrame) -> DataFrame:
