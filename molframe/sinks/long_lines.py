@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from molframe.plans.ordered import running
-from molframe.session import materialise
+from molframe.session import materialise, scratch, shuffles_deleted
 
 NAME = "long_lines"
 COLUMNS = ["file", "line_no", "part", "text", "last"]
 #: Bytes of a range, and bytes of text of one row read.
 RANGE, BLOCK = 64 << 20, 1 << 18
+#: Most files of one task.
+FILES = 256
+_BRIEF = "file string, stored int, start long, head boolean, ends long, full long, tail boolean, first string"
 _READ = "file string, stored int, start long, k long, text string, starts boolean, ends boolean"
 
 
@@ -76,7 +79,7 @@ class _Writer(DataSourceWriter):
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     file: str
     stored: int
     path: str
@@ -85,11 +88,16 @@ class _Range(InputPartition):
     before: str | None
 
 
+@dataclass
+class _Task(InputPartition):
+    ranges: list[_Range]
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, size: int, block: int):
-        self.path, self.size, self.block = path, size, block
+    def __init__(self, path: str, size: int, block: int, brief: bool = False):
+        self.path, self.size, self.block, self.brief = path, size, block, brief
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Task]:
         from pyarrow import fs
 
         store, root = _store(self.path)
@@ -103,10 +111,37 @@ class _Reader(DataSourceReader):
             last[name] = stored + 1, path
             out += [_Range(name, stored, path, at, min(at + self.size, size), before)
                     for at in range(0, size, self.size)]
-        return out
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
+        # small files share a task; opening one costs as much as some text
+        tasks, room = [], 0
+        for r in out:
+            cost = r.end - r.start + self.size // FILES
+            if cost > room:
+                tasks.append(_Task([]))
+                room = self.size + self.size // FILES
+            tasks[-1].ranges.append(r)
+            room -= cost
+        return tasks
+
+    def read(self, partition: _Task) -> Iterator[tuple]:
         store, _ = _store(self.path)
+        for r in partition.ranges:
+            rows = self.pieces(store, r)
+            yield from [self.summary(r, rows)] if self.brief else rows
+
+    def summary(self, r: _Range, rows: Iterator[tuple]) -> tuple:
+        """One row of a range: whether the texts before its first and behind its last line end are more than blanks,
+        how many line ends it has, how many lines in between are more than blanks, and its first piece."""
+        head = tail = False
+        ends, full, first = 0, 0, None
+        for *_, text, _starts, last in rows:
+            first = text if first is None else first
+            tail = tail or text.strip(" ") != ""
+            if last:
+                head, full = (tail, full) if not ends else (head, full + tail)
+                ends, tail = ends + 1, False
+        return (r.file, r.stored, r.start, tail if not ends else head, ends, full, tail, first)
+
+    def pieces(self, store, partition: _Range) -> Iterator[tuple]:
 
         def byte(path, at):
             with store.open_input_file(path) as f:
@@ -144,10 +179,11 @@ class LongLines(DataSource):
         return NAME
 
     def schema(self) -> str:
-        return _READ
+        return _BRIEF if "brief" in self.options else _READ
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], int(self.options.get("range", RANGE)), int(self.options.get("block", BLOCK)))
+        return _Reader(self.options["path"], int(self.options.get("range", RANGE)), int(self.options.get("block", BLOCK)),
+                       "brief" in self.options)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"])
@@ -157,8 +193,32 @@ def write_parts(lines: DataFrame, path: str) -> None:
     """Write rows of ``COLUMNS``; a large file, or a long line, becomes several stored parts in order."""
     lines.sparkSession.dataSource.register(LongLines)
     # the range shuffle samples its input, so that is stored first
-    (materialise(lines.select(*COLUMNS), "parts").repartitionByRange("file", "line_no", "part")
-     .sortWithinPartitions("file", "line_no", "part").write.format(NAME).mode("append").save(path))
+    with scratch():
+        stored = materialise(lines.select(*COLUMNS), "parts")
+        with shuffles_deleted(lines.sparkSession):
+            stored.repartitionByRange("file", "line_no", "part").sortWithinPartitions("file", "line_no", "part").write.format(
+                NAME).mode("append").save(path)
+
+
+def count_lines(spark: SparkSession, path: str, size: int = RANGE, block: int = BLOCK) -> DataFrame:
+    """file, n (lines that are more than blanks), first (the first piece of the first line) of every file below ``path``.
+
+    A range comes as one row, so text is neither stored nor shuffled.
+    """
+    spark.dataSource.register(LongLines)
+    raw = materialise(spark.read.format(NAME).option("path", path).option("range", size).option("block", block)
+                      .option("brief", "yes").load(), "counted")
+    before = W.partitionBy("file").orderBy("stored", "start").rowsBetween(W.unboundedPreceding, -1)
+    here = raw.withColumn("_line", F.coalesce(F.sum((F.col("ends") > 0).cast("int")).over(before), F.lit(0)))
+    # a line that goes over ranges: behind the last line end of one, up to the first one of a later range
+    over = here.select("file", F.explode(F.array(
+        F.struct("_line", F.col("head").alias("text")),
+        F.struct((F.col("_line") + (F.col("ends") > 0).cast("int")).alias("_line"), F.col("tail").alias("text")))).alias("x"))
+    over = over.groupBy("file", "x._line").agg(F.bool_or("x.text").alias("text")).groupBy("file").agg(
+        F.count_if("text").alias("_over"))
+    per = raw.groupBy("file").agg(F.sum("full").alias("_full"), F.max(F.when(
+        (F.col("stored") == 0) & (F.col("start") == 0), F.col("first"))).alias("first"))
+    return per.join(over, "file").select("file", (F.col("_full") + F.col("_over")).alias("n"), "first")
 
 
 def read_pieces(spark: SparkSession, path: str, size: int = RANGE, block: int = BLOCK) -> DataFrame:

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from molframe.plans.ordered import dense_index
 from molframe.session import materialise
-from molframe.sinks.long_lines import BLOCK, RANGE, read_pieces
+from molframe.sinks.long_lines import BLOCK, RANGE, count_lines, read_pieces
 from molframe.sources.lines import blocks, fields, read_lines, whole
 
 
 def detect(spark: SparkSession, path: str) -> DataFrame:
     """file, dialect: 'new', 'old' or 'patchy' by header and line count."""
-    lines = read_pieces(spark, path)
-    blank = lines.groupBy("file", "line_no").agg(F.bool_or(F.trim("text") != "").alias("_text")).filter("_text")
-    heads = lines.filter("line_no = 0 AND at = 0").select("file", F.col("text").alias("header"))
-    per = blank.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(heads, "file")
+    per = count_lines(spark, path).filter("n > 0").withColumnRenamed("first", "header")
     h = fields(F.col("header"))
     first, second = whole(F.get(h, F.lit(0))), whole(F.get(h, F.lit(1)))
     return per.select("file", F.when(F.contains("header", F.lit("5->3")), "new")
