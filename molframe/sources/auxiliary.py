@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from molframe.operators.residues import PROTEIN
 from molframe.plans.ordered import dense_index, parts_for, running
@@ -134,39 +137,66 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 OPEN, CLOSE = "([{", ")]}"
 
 
+#: Characters of notations that are matched at a time.
+MATCHED = 1 << 22
+
+
 def bracket_partners(notation: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(positions, errors) of dot-bracket notations (id, notation).
 
     positions: id, pos, partner (NULL when unpaired or never closed). Errors: id, pos of a close
     without an open or of an unknown character; such notations give no positions. Depth is a
     running sum per bracket kind; opener and closer of one depth alternate, so the n-th opener
-    meets the n-th closer.
+    meets the n-th closer. A notation is one value, so it is matched where it lies and nothing is shuffled.
     """
-    chars = notation.select("id", F.posexplode(F.split("notation", "")).alias("pos", "c")).filter(
-        F.col("c") != "")
-    kind = F.coalesce(*[F.when(F.col("c").isin(o, c), i) for i, (o, c)
-                        in enumerate(zip(OPEN, CLOSE))], F.lit(-1))
-    step = F.when(F.col("c").isin(*OPEN), 1).when(F.col("c").isin(*CLOSE), -1).otherwise(0)
-    d = chars.withColumn("kind", kind).withColumn("step", step)
-    for i in range(3):
-        d = d.withColumn(f"_s{i}", F.when(F.col("kind") == i, F.col("step")).otherwise(0))
-    d = running(d, ["id"], "pos", sums={f"depth{i}": F.col(f"_s{i}") for i in range(3)})
-    depth = F.coalesce(*[F.when(F.col("kind") == i, F.col(f"depth{i}")) for i in range(3)])
-    d = d.withColumn("depth", F.when(F.col("step") == -1, depth + 1).otherwise(depth))
-    bad = ((F.col("kind") == -1) & (F.col("c") != ".")) | (
-        (F.col("step") == -1) & (F.col("depth") < 1))
-    errors = d.filter(bad).select("id", "pos")
-    marks = dense_index(d.filter(F.col("step") != 0).select("id", "kind", "depth", "step", "pos"),
-                        ["id", "kind", "depth", "step"], ["pos"], "_g", "n")
-    keys = ["id", "kind", "depth", "n"]
-    pairs = (marks.filter(F.col("step") == 1).select(*keys, F.col("pos").alias("o"))
-             .join(marks.filter(F.col("step") == -1).select(*keys, F.col("pos").alias("c")), keys)
-             .select("id", F.explode(F.array(
-                 F.struct(F.col("o").alias("pos"), F.col("c").alias("partner")),
-                 F.struct(F.col("c").alias("pos"), F.col("o").alias("partner")))).alias("e"))
-             .select("id", "e.*"))
-    good = d.select("id", "pos").join(errors.select("id").distinct(), "id", "left_anti")
-    return good.join(pairs, ["id", "pos"], "left"), errors
+    own = notation.schema["id"].dataType
+    shape = StructType([StructField("id", own), StructField("pos", IntegerType()), StructField("partner", IntegerType()),
+                        StructField("error", BooleanType())])
+    arrow = pa.schema([("pos", pa.int32()), ("partner", pa.int32()), ("error", pa.bool_())])
+
+    def matched(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
+            group = np.cumsum(sizes) // MATCHED
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                row, *columns = _partners([texts[i] or "" for i in at], sizes[at])
+                for k in range(0, len(row), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[row[part]])), *[
+                        pa.array(c[part], f.type, mask=m[part] if m is not None else None)
+                        for (c, m), f in zip(columns, arrow)]], names=shape.names)
+    found = notation.select("id", "notation").mapInArrow(matched, shape)
+    return (found.filter("NOT error").select("id", "pos", "partner"), found.filter("error").select("id", "pos"))
+
+
+def _partners(texts: list[str], sizes: np.ndarray) -> tuple:
+    """Row of ``texts``, and (values, mask) of pos, partner and error: all positions of rows without an error, and
+    the errors of the others."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    error, partner = code != ord("."), np.full(len(code), -1)
+    for o, c in zip(OPEN, CLOSE):
+        at = np.flatnonzero((code == ord(o)) | (code == ord(c)))
+        error[at] = False
+        if not len(at):
+            continue
+        step, r = np.where(code[at] == ord(o), 1, -1), row[at]
+        total, first = np.cumsum(step), np.r_[True, r[1:] != r[:-1]]
+        # depth begins anew in each row
+        level = total - (total - step)[first][np.cumsum(first) - 1] + (step < 0)
+        error[at] = (step < 0) & (level < 1)
+        order = np.lexsort((at, level, r))
+        a, b = order[:-1], order[1:]
+        pair = (r[a] == r[b]) & (level[a] == level[b]) & (step[a] > 0) & (step[b] < 0)
+        a, b = at[a[pair]], at[b[pair]]
+        partner[a], partner[b] = pos[b], pos[a]
+    bad = np.zeros(len(sizes), dtype=bool)
+    bad[row[error]] = True
+    use = np.flatnonzero(error | ~bad[row])
+    return row[use], (pos[use], None), (partner[use], partner[use] < 0), (error[use], None)
 
 
 def read_order_params_text(spark: SparkSession, path: str) -> DataFrame:
